@@ -195,8 +195,14 @@ def dedup_key(*cols: Column) -> Column:
 
 
 def fixed_digits(value: Column, digits: int) -> Column:
-    """Fixed-point text with trailing zeros and a bare point removed: 0.50 -> 0.5, 2.00 -> 2."""
-    text = F.format_string(f"%.{digits}f", value.cast("double"))
+    """Fixed-point text with trailing zeros and a bare point removed: 0.50 -> 0.5, 2.00 -> 2.
+
+    Values exactly half way between two results go to the even one.
+    """
+    value = value.cast("double")
+    eighths = value * 2 ** (digits + 1)
+    value = F.when(eighths == F.floor(eighths), F.bround(value, digits)).otherwise(value)
+    text = F.format_string(f"%.{digits}f", value)
     text = F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
     return F.when(value.isNotNull(), text)
 

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from periodlens.functions import text as tx
 from periodlens.operators.rows import dedup
@@ -259,7 +260,7 @@ def _gram_parts(window: int, chunk: int):
     return parts
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _coefficient_sum(keys: pd.Series, values: pd.Series) -> pd.Series:
     """Sum of the minimum-norm least-squares coefficients from summed Gram cells."""
 
