@@ -70,20 +70,35 @@ def graph_posts(spark, sf):
     return graph.graph_posts(tt.posts(spark, sf))
 
 
-@query("graph_edge_list", "SELECT row_id, a, b FROM pairs WHERE MatchID = 15", "posts graph")
+@query(
+    "graph_edge_list",
+    "SELECT row_id, count(*) AS n, min(concat(a, ' ', b)) AS first_pair, max(concat(a, ' ', b)) AS last_pair FROM pairs GROUP BY row_id",
+    "posts graph",
+)
 def graph_edge_list(spark, sf):
-    clean = graph.graph_posts(tt.posts(spark, sf))
-    return graph.edge_list_per_tweet(clean.where("MatchID = 15"))
+    pairs = graph.edge_list_per_tweet(graph.graph_posts(tt.posts(spark, sf)))
+    pair = F.concat_ws(" ", "a", "b")
+    return pairs.groupBy("row_id").agg(
+        F.count("*").alias("n"), F.min(pair).alias("first_pair"), F.max(pair).alias("last_pair")
+    )
 
 
 @query(
     "graph_edges",
-    "SELECT MatchID, PeriodID, a, b, round(w, 4) AS w FROM edges",
+    """SELECT MatchID, PeriodID, a, count(*) AS n, round(sum(w), 4) AS w, round(sum(w * w), 4) AS w2,
+    min(b) AS first_b, max(b) AS last_b FROM edges GROUP BY MatchID, PeriodID, a""",
     "posts graph",
 )
 def graph_edges(spark, sf):
-    clean = graph.graph_posts(tt.posts(spark, sf))
-    return graph.cooccurrence_edges(clean).select("MatchID", "PeriodID", "a", "b", r4("w"))
+    """All edges, reported per left word: number, weights, and the range of right words."""
+    edges, _ = graphs(spark, sf)
+    return edges.groupBy("MatchID", "PeriodID", "a").agg(
+        F.count("*").alias("n"),
+        F.round(F.sum("w"), 4).alias("w"),
+        F.round(F.sum(F.col("w") * F.col("w")), 4).alias("w2"),
+        F.min("b").alias("first_b"),
+        F.max("b").alias("last_b"),
+    )
 
 
 CHAR_SQL = """
@@ -134,15 +149,19 @@ def graph_period_rank_first_seen(spark, sf):
 
 @query(
     "graph_edge_history",
-    """WITH g AS (SELECT c.*, unnest(generate_series(1, least(2, c.rank - 1))) AS lag FROM redges c WHERE c.MatchID = 6)
-    SELECT g.MatchID, g.rank, g.a, g.b, g.lag, round(g.w, 4) AS w, round(coalesce(p.w, 0), 4) AS w_before
-    FROM g LEFT JOIN redges p ON g.MatchID = p.MatchID AND p.rank = g.rank - g.lag AND p.a = g.a AND p.b = g.b""",
+    """WITH g AS (SELECT c.*, unnest(generate_series(1, least(2, c.rank - 1))) AS lag FROM redges c)
+    SELECT g.MatchID, g.rank, g.lag, count(*) AS n, count(p.w) AS n_known, round(sum(g.w * coalesce(p.w, 0)), 4) AS xy
+    FROM g LEFT JOIN redges p ON g.MatchID = p.MatchID AND p.rank = g.rank - g.lag AND p.a = g.a AND p.b = g.b GROUP BY ALL""",
     "posts graph",
 )
 def graph_edge_history(spark, sf):
-    edges, ranks = graphs(spark, sf)
-    past = graph.edge_history(edges.where("MatchID = 6"), ranks, 2)
-    return past.select("MatchID", "rank", "a", "b", "lag", r4("w"), r4("w_before"))
+    """The whole edge history, reported per period and lag."""
+    past = graph.edge_history(*graphs(spark, sf), 2)
+    return past.groupBy("MatchID", "rank", "lag").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("w_before") > 0).alias("n_known"),
+        F.round(F.sum(F.col("w") * F.col("w_before")), 4).alias("xy"),
+    )
 
 
 @query(

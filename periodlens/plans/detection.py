@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from periodlens.operators import evaluate as ev
 from periodlens.operators import graph
 from periodlens.operators.rows import order_by_id
-from periodlens.session import materialise
+from periodlens.session import materialise, shuffle_width
 
 
 def graphs(posts: DataFrame, unit: str = "token", order: str = "period", **cleaning) -> tuple[DataFrame, DataFrame]:
-    """(edges, ranks). Cleaned posts feed both, so they are written once."""
-    clean = materialise(graph.graph_posts(posts, **cleaning), "graph-posts")
+    """(edges, ranks). Cleaned posts feed both, so they are written once.
+
+    A post turns into many pairs, so the posts are laid out over the full shuffle width first;
+    adaptive execution would merge them by their own, much smaller, size.
+    """
+    clean = graph.graph_posts(posts, **cleaning)
+    clean = materialise(clean.repartition(shuffle_width(posts.sparkSession), "row_id"), "graph-posts")
     return graph.cooccurrence_edges(clean, unit), materialise(graph.period_rank(clean, order), "ranks")
 
 

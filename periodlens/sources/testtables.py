@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodlens.functions import text as tx
-from periodlens.session import lookup_join
+from periodlens.session import lookup_join, spread
 
 WORDS_PER_POST = 16
 
@@ -42,7 +42,7 @@ def _pieces(text: str) -> Column:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unlabelled posts (row_id, doc_id, ID, MatchID, PeriodID, Timestamp, Tweet)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     pieces = docs.select(
         "doc_id",
         _match().alias("MatchID"),
