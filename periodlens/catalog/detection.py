@@ -61,6 +61,15 @@ def r4(col: str):
     return F.round(F.col(col), 4).alias(col)
 
 
+# Sums of 1/n are compared on a grid that holds 1/2 .. 1/16 and the powers of two exactly, so
+# that the order of summation cannot tip a value lying half way between two results.
+GRID = 720720 * 64
+
+
+def on_grid(value):
+    return F.round(value * GRID).cast("bigint")
+
+
 def graphs(spark, sf):
     return detection.graphs(tt.posts(spark, sf))
 
@@ -85,7 +94,7 @@ def graph_edge_list(spark, sf):
 
 @query(
     "graph_edges",
-    """SELECT MatchID, PeriodID, a, count(*) AS n, round(sum(w), 4) AS w, round(sum(w * w), 4) AS w2,
+    """SELECT MatchID, PeriodID, a, count(*) AS n, CAST(round(sum(w) * 46126080) AS BIGINT) AS w,
     min(b) AS first_b, max(b) AS last_b FROM edges GROUP BY MatchID, PeriodID, a""",
     "posts graph",
 )
@@ -94,8 +103,7 @@ def graph_edges(spark, sf):
     edges, _ = graphs(spark, sf)
     return edges.groupBy("MatchID", "PeriodID", "a").agg(
         F.count("*").alias("n"),
-        F.round(F.sum("w"), 4).alias("w"),
-        F.round(F.sum(F.col("w") * F.col("w")), 4).alias("w2"),
+        on_grid(F.sum("w")).alias("w"),
         F.min("b").alias("first_b"),
         F.max("b").alias("last_b"),
     )
@@ -108,28 +116,28 @@ ch AS (SELECT MatchID, PeriodID, list_distinct(string_split(t, '')) AS chars FRO
 u AS (SELECT MatchID, PeriodID, list_sort(list_intersect(chars, single)) AS units, len(chars) AS n FROM ch JOIN one USING (MatchID)),
 l AS (SELECT MatchID, PeriodID, units, n, unnest(units) AS a, generate_subscripts(units, 1) AS i FROM u),
 p AS (SELECT MatchID, PeriodID, a, unnest(units[i + 1:]) AS b, 1.0::DOUBLE / n AS w FROM l)
-SELECT MatchID, PeriodID, a, b, round(sum(w), 4) AS w FROM p GROUP BY MatchID, PeriodID, a, b
+SELECT MatchID, PeriodID, a, b, round(sum(w), 6) AS w FROM p GROUP BY MatchID, PeriodID, a, b
 """
 
 
 @query("graph_edges_char", CHAR_SQL, "posts graph")
 def graph_edges_char(spark, sf):
     edges, _ = detection.graphs(tt.posts(spark, sf), unit="char")
-    return edges.select("MatchID", "PeriodID", "a", "b", r4("w"))
+    return edges.select("MatchID", "PeriodID", "a", "b", F.round("w", 6).alias("w"))
 
 
 @query(
     "graph_stats",
     """WITH nd AS (SELECT MatchID, PeriodID, a AS node FROM edges UNION SELECT MatchID, PeriodID, b FROM edges),
     nn AS (SELECT MatchID, PeriodID, count(*) AS n_nodes FROM nd GROUP BY ALL)
-    SELECT MatchID, PeriodID, count(*) AS n_edges, round(sum(w), 4) AS weight, any_value(n_nodes) AS n_nodes
+    SELECT MatchID, PeriodID, count(*) AS n_edges, CAST(round(sum(w) * 46126080) AS BIGINT) AS weight, any_value(n_nodes) AS n_nodes
     FROM edges JOIN nn USING (MatchID, PeriodID) GROUP BY ALL""",
     "posts graph",
 )
 def graph_stats(spark, sf):
     edges, _ = graphs(spark, sf)
     stats = graph.period_graph_stats(materialise(edges, "edges"))
-    return stats.select("MatchID", "PeriodID", "n_edges", r4("weight"), "n_nodes")
+    return stats.select("MatchID", "PeriodID", "n_edges", on_grid(F.col("weight")).alias("weight"), "n_nodes")
 
 
 @query("graph_period_rank", "SELECT MatchID, PeriodID, rank FROM ranks", "posts graph")

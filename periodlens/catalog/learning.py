@@ -1 +1,114 @@
+"""Model training and reports. Vocabulary size and rounds are small here; rows are never left out."""
 
+from pyspark.sql import functions as F
+
+from periodlens.catalog.registry import STOPWORDS, query
+from periodlens.operators import evaluate as ev
+from periodlens.operators import features as ft
+from periodlens.operators import models as md
+from periodlens.operators import periods as pe
+from periodlens.plans import classical, exploration
+from periodlens.session import materialise
+from periodlens.sources import testtables as tt
+
+
+def prepared(spark, sf, max_features):
+    return classical.prepare(tt.labelled_posts(spark, sf), STOPWORDS, max_features)
+
+
+@query("model_logreg_report")
+def model_logreg_report(spark, sf):
+    data = prepared(spark, sf, 1000)
+    return md.report(md.train_logreg(data.train), data.test)
+
+
+@query("model_kernel_svm_report")
+def model_kernel_svm_report(spark, sf):
+    data = prepared(spark, sf, 500)
+    sparse = ft.tfidf_weights(data.train.unionByName(data.test), "row_id", "text", data.vocabulary)
+    labels = data.train.unionByName(data.test).select("row_id", "EventType", "split")
+    rows = materialise(sparse.join(labels, "row_id"), "sparse-rows")
+    train = rows.where("split = 'train'")
+    dense, root = md.kernel_root(md.landmarks(train, "row_id", 100), data.vocabulary.count(), 0.1)
+    features = materialise(md.kernel_features(rows, dense, root), "kernel-rows")
+    model = md.train_kernel_svm(features.where("split = 'train'"), max_iter=30)
+    return md.report(model, features.where("split = 'validation'"))
+
+
+@query("model_random_forest_report")
+def model_random_forest_report(spark, sf):
+    data = prepared(spark, sf, 100)
+    return md.report(md.train_random_forest(data.train, trees=20), data.test)
+
+
+@query("model_gbt_report")
+def model_gbt_report(spark, sf):
+    data = prepared(spark, sf, 100)
+    return md.report(md.train_gbt(data.train, rounds=5), data.test)
+
+
+@query("model_boosted_stumps_report")
+def model_boosted_stumps_report(spark, sf):
+    data = prepared(spark, sf, 100)
+    return md.report(md.train_boosted_stumps(data.train, rounds=10), data.test)
+
+
+@query("model_apply_all")
+def model_apply_all(spark, sf):
+    data = prepared(spark, sf, 100)
+    models = {"logreg": md.train_logreg(data.train), "stumps": md.train_boosted_stumps(data.train, rounds=3)}
+    done = md.apply_models(models, data.test, ["row_id", "ID"])
+    return done.groupBy("model").agg(F.count("*").alias("n"), F.avg("EventType").alias("share_of_events"))
+
+
+def feature_rows(spark, sf):
+    """Documents of labelled sources with simple numeric features and the toxic label."""
+    docs = tt.table(spark, sf, "documents").select("doc_id", "n_chars", "text").join(
+        tt.table(spark, sf, "labels"), "doc_id"
+    )
+    table = docs.select(
+        "doc_id",
+        F.col("toxic").alias("EventType"),
+        F.col("n_chars").cast("double").alias("NumChars"),
+        F.size(F.split("text", "\n")).cast("double").alias("NumLines"),
+        F.size(F.split("text", " ")).cast("double").alias("NumWords"),
+        F.col("quality").cast("double").alias("Quality"),
+    )
+    columns = ["NumChars", "NumLines", "NumWords", "Quality"]
+    table = materialise(table, "document-features")
+    fitted = pe.zscore_fit(table, {c: c for c in columns})
+    done = pe.zscore_apply(table, fitted, {c: c for c in columns}, {c: c for c in columns})
+    split = materialise(ft.random_split(done, 0.8, 42, "doc_id"), "document-split")
+    return split.where("split = 'train'"), split.where("split = 'validation'"), columns
+
+
+@query("model_ablation")
+def model_ablation(spark, sf):
+    train, test, columns = feature_rows(spark, sf)
+    return md.ablation_feature_sets(train, test, columns)
+
+
+@query("model_param_search")
+def model_param_search(spark, sf):
+    data = prepared(spark, sf, 100)
+    return md.param_search(data.train, {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]})
+
+
+@query("model_param_importance")
+def model_param_importance(spark, sf):
+    return md.param_importance(tt.trials(spark, sf).drop("params_weight_decay"))
+
+
+@query("model_period_classifier")
+def model_period_classifier(spark, sf):
+    """Pooled text vectors plus normalised features per period, a logistic regression, its metrics."""
+    posts = tt.labelled_posts(spark, sf)
+    vectors = ft.embed_text(exploration.prepared(posts), "Tweet", dims=16)
+    pooled = ft.masked_mean_pool(vectors, "ID", "vec")
+    extra = materialise(exploration.normalised_features(posts), "normalised")
+    names = ["NumTweets", "AvgTweetLength", "NormalizedPeriod"]
+    rows = ft.assemble_features(pooled, extra, "ID", names).join(extra.select("ID", "EventType"), "ID")
+    rows = rows.withColumn("features", ft.array_to_vector("features"))
+    split = materialise(ft.stratified_split(rows, 0.2, 3, "ID", "EventType"), "period-rows")
+    model = md.train_logreg(split.where("split = 'train'"))
+    return ev.binary_metrics(model.transform(split.where("split = 'validation'")), "EventType", "predicted")

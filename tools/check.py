@@ -5,6 +5,7 @@ usage: python tools/check.py [--sf DIR] [name-prefix ...]
 
 from __future__ import annotations
 
+import faulthandler
 import math
 import sys
 import time
@@ -53,7 +54,7 @@ def compare(df, con, sql):
     if got_names != names:
         return f"columns {got_names} != {names}", len(got)
     if got != want:
-        a, b = [r for r in got if r not in set(want)][:2], [r for r in want if r not in set(got)][:2]
+        a, b = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
         return f"rows {len(got)} vs {len(want)}; only spark {str(a)[:600]}; only sql {str(b)[:600]}", len(got)
     return None, len(got)
 
@@ -66,10 +67,12 @@ def main(argv: list[str]) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
+    faulthandler.enable()
     for name, fn in QUERIES.items():
         if argv and not any(name.startswith(a) for a in argv):
             continue
         start = time.time()
+        faulthandler.dump_traceback_later(240, exit=True)
         try:
             if name in ORACLES:
                 diff, n = compare(fn(spark, sf_dir), con, ORACLES[name])
