@@ -384,14 +384,11 @@ def describe(df: DataFrame, col: str, accuracy: int = 10_000) -> DataFrame:
     if n == 0:
         return data.agg(F.count("x").alias("n"), *[F.avg("x").alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
     rank = {p: p * (n - 1) for p in probs}
-    edges = {}
-    for i, p in enumerate(probs):
-        lo, hi = first["marks"][2 * i], first["marks"][2 * i + 1]
-        # Ranks within two rows of an end are bracketed by that end itself.
-        edges[p] = (
-            first["min"] if rank[p] - slack * n < 2 else lo,
-            first["max"] if rank[p] + slack * n > n - 3 else hi,
-        )
+    if n <= accuracy:
+        # Few rows: rank them all.
+        edges = {p: (first["min"], first["max"]) for p in probs}
+    else:
+        edges = {p: (first["marks"][2 * i], first["marks"][2 * i + 1]) for i, p in enumerate(probs)}
     below = data.agg(*[F.count_if(F.col("x") < edges[p][0]).alias(f"b{i}") for i, p in enumerate(probs)])
     inside = F.array_compact(
         F.array(*[F.when(F.col("x").between(*edges[p]), F.lit(i)) for i, p in enumerate(probs)])
