@@ -178,7 +178,7 @@ def graph_edge_history(spark, sf):
     "posts graph",
 )
 def evolution_distance(spark, sf):
-    return graph.evolution_distance(*graphs(spark, sf)).select("MatchID", "PeriodID", "rank", r4("distance"))
+    return graph.evolution_distance(*detection.pairs_and_ranks(tt.posts(spark, sf))).select("MatchID", "PeriodID", "rank", r4("distance"))
 
 
 @query(
@@ -213,7 +213,8 @@ def sweep_evolution(spark, sf):
     "posts graph",
 )
 def deviation_previous(spark, sf):
-    scores = graph.deviation_by_previous(*graphs(spark, sf))
+    pairs, ranks = detection.pairs_and_ranks(tt.posts(spark, sf))
+    scores = graph.deviation_by_previous(graph.sum_pairs(pairs), ranks)
     return scores.select("MatchID", "PeriodID", "rank", F.round("score", 6).alias("score"))
 
 
@@ -223,7 +224,8 @@ def deviation_previous(spark, sf):
     "posts graph",
 )
 def deviation_window_1(spark, sf):
-    scores = graph.deviation_score(*graphs(spark, sf), window=1)
+    pairs, ranks = detection.pairs_and_ranks(tt.posts(spark, sf))
+    scores = graph.deviation_score(graph.sum_pairs(pairs), ranks, window=1)
     return scores.select("MatchID", "PeriodID", "rank", F.round("score", 6).alias("score"))
 
 
@@ -233,7 +235,8 @@ def deviation_window_1(spark, sf):
     "posts graph",
 )
 def deviation_window_2(spark, sf):
-    scores = graph.deviation_score(*graphs(spark, sf), window=2)
+    pairs, ranks = detection.pairs_and_ranks(tt.posts(spark, sf))
+    scores = graph.deviation_score(graph.sum_pairs(pairs), ranks, window=2)
     return scores.select("MatchID", "PeriodID", "rank", F.round("score", 6).alias("score"))
 
 

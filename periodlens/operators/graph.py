@@ -65,13 +65,24 @@ def _char_units(clean: DataFrame) -> DataFrame:
     )
 
 
-def word_pairs(clean: DataFrame, unit: str = "token") -> DataFrame:
+def ids_are_exact(clean: DataFrame) -> bool:
+    """Whether no two words of the data share a 64-bit hash."""
+    words = clean.select(F.explode(tx.tokenize(F.col("Preprocessed_Tweet"))).alias("w")).distinct()
+    return words.groupBy(F.xxhash64("w")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def word_pairs(clean: DataFrame, unit: str = "token", ids: bool = False) -> DataFrame:
     """Every unordered pair of distinct units of a post with weight ``1 / number of units``.
 
     Both generators run inside the row, so pairs are streamed into the next aggregation; a
-    post of any length is taken whole.
+    post of any length is taken whole. With ``ids`` the words are replaced by their hashes
+    before pairing, which halves the cost of everything keyed by the pair; use it where only
+    the identity of a pair matters and ``ids_are_exact`` holds.
     """
     units = {"token": _token_units, "char": _char_units}[unit](clean)
+    if ids:
+        hashed = F.transform("units", lambda u: F.xxhash64(u))
+        units = units.withColumn("units", F.array_sort(hashed))
     return (
         units.select(
             "row_id", *PERIOD, "units", "n_units", F.posexplode("units").alias("i", "a")
@@ -90,10 +101,14 @@ def edge_list_per_tweet(clean: DataFrame, unit: str = "token") -> DataFrame:
     return word_pairs(clean, unit).select("row_id", "a", "b")
 
 
-def cooccurrence_edges(clean: DataFrame, unit: str = "token") -> DataFrame:
+def sum_pairs(pairs: DataFrame) -> DataFrame:
     """Pair weights summed per period. The key holds the pair, so a busy period spreads out,
     and repeated pairs are summed before the shuffle."""
-    return word_pairs(clean, unit).groupBy(*PERIOD, "a", "b").agg(F.sum("w").alias("w"))
+    return pairs.groupBy(*PERIOD, "a", "b").agg(F.sum("w").alias("w"))
+
+
+def cooccurrence_edges(clean: DataFrame, unit: str = "token") -> DataFrame:
+    return sum_pairs(word_pairs(clean, unit))
 
 
 def period_graph_stats(edges: DataFrame) -> DataFrame:
@@ -123,33 +138,26 @@ def ranked_edges(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return lookup_join(edges, ranks, PERIOD).select("MatchID", "rank", "a", "b", "w")
 
 
-def evolution_distance(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+def evolution_distance(weights: DataFrame, ranks: DataFrame) -> DataFrame:
     """Frobenius distance of every period's graph to that of the previous existing period.
 
-    One window per word pair over the periods it occurs in: a row adds the squared change
-    since the previous period to its own period, and, where the pair does not go on, the
-    squared weight to the next one. Each pair stands for two matrix cells.
+    ``weights`` are summed edges or the raw ``word_pairs``: the difference of two graphs is a
+    sum as well. Every weight counts for its own period and, negated, for the next one, so one
+    aggregation per (period, pair) gives the cells of the difference, without a self-join and
+    without sorting. Each pair stands for two matrix cells.
     """
-    pair = Window.partitionBy("MatchID", "a", "b").orderBy("rank")
-    stepped = ranked_edges(edges, ranks).select(
-        "MatchID",
-        "rank",
-        "w",
-        F.when(F.lag("rank").over(pair) == F.col("rank") - 1, F.lag("w").over(pair)).alias("before"),
-        (F.lead("rank").over(pair) == F.col("rank") + 1).alias("goes_on"),
-    )
-    change = F.col("w") - F.coalesce("before", F.lit(0.0))
-    parts = F.array(
-        F.struct(F.col("rank").alias("rank"), (change * change).alias("sq")),
-        F.struct(
-            (F.col("rank") + 1).alias("rank"),
-            F.when(F.col("goes_on"), F.lit(0.0)).otherwise(F.col("w") * F.col("w")).alias("sq"),
-        ),
+    signed = F.array(
+        F.struct(F.col("rank").alias("rank"), F.col("w").alias("d")),
+        F.struct((F.col("rank") + 1).alias("rank"), (-F.col("w")).alias("d")),
     )
     squares = (
-        stepped.select("MatchID", F.inline(parts))
+        ranked_edges(weights, ranks)
+        .select("MatchID", "a", "b", F.inline(signed))
+        .where(F.col("rank") > 1)
+        .groupBy("MatchID", "rank", "a", "b")
+        .agg(F.sum("d").alias("d"))
         .groupBy("MatchID", "rank")
-        .agg(F.sum("sq").alias("sq"))
+        .agg(F.sum(F.col("d") * F.col("d")).alias("sq"))
     )
     return ranks.join(squares, ["MatchID", "rank"], "left").select(
         "MatchID",
@@ -231,6 +239,9 @@ def deviation_by_previous(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     )
 
 
+GRAM_COLUMNS = ["MatchID", "rank", "live", "gram", "cross"]
+
+
 def _gram_parts(window: int, chunk: int):
     """Partial Gram matrices of one (match, chunk of periods, edge bucket) cell."""
 
@@ -238,10 +249,13 @@ def _gram_parts(window: int, chunk: int):
         match, part = int(cell[0]), int(cell[1])
         start = part * chunk + 1
         first = max(1, start - window)
+        pairs = pdf.groupby(["a", "b"], sort=False)
+        pdf = pdf[pairs["w"].transform("size") > 1]
+        if not len(pdf):
+            return pd.DataFrame([], columns=GRAM_COLUMNS)
         edge = pdf.groupby(["a", "b"], sort=False).ngroup().to_numpy()
-        rank = pdf["rank"].to_numpy()
         block = np.zeros((edge.max() + 1, start + chunk - first))
-        block[edge, rank - first] = pdf["w"].to_numpy()
+        block[edge, pdf["rank"].to_numpy() - first] = pdf["w"].to_numpy()
         out = []
         for t in range(start, start + chunk):
             now = block[:, t - first]
@@ -255,7 +269,7 @@ def _gram_parts(window: int, chunk: int):
                 continue
             past = past[:, live]
             out.append((match, t, (lo + live).tolist(), (past.T @ past).ravel().tolist(), (past.T @ now[rows]).tolist()))
-        return pd.DataFrame(out, columns=["MatchID", "rank", "live", "gram", "cross"])
+        return pd.DataFrame(out, columns=GRAM_COLUMNS)
 
     return parts
 
@@ -288,8 +302,9 @@ def deviation_score(
 
     The normal equations are additive over edges, so edges are spread over cells of one match,
     a chunk of periods and a hash bucket of the word pair; the number of buckets follows the
-    edge count of the match. Cells emit small partial matrices, which are summed and solved per
-    period. Only window-sized matrices reach the solver, whatever the data size.
+    edge count of the match. Cells emit small partial matrices (a pair seen in one period of the
+    chunk adds nothing), which are summed and solved per period. Only window-sized matrices
+    reach the solver, whatever the data size.
     """
     chunk = max(window, periods_per_chunk)
     ranked = materialise(ranked_edges(edges, ranks), "ranked-edges")
@@ -301,6 +316,7 @@ def deviation_score(
     cells = (
         lookup_join(ranked, buckets, ["MatchID"])
         .withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.col("n_buckets")))
+        .drop("n_buckets")
         .withColumn("part", F.explode(F.sequence(own, upto)))
     )
     parts = cells.groupBy("MatchID", "part", "bucket").applyInPandas(

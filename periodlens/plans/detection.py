@@ -13,15 +13,26 @@ from periodlens.operators.rows import order_by_id
 from periodlens.session import materialise, shuffle_width
 
 
-def graphs(posts: DataFrame, unit: str = "token", order: str = "period", **cleaning) -> tuple[DataFrame, DataFrame]:
-    """(edges, ranks). Cleaned posts feed both, so they are written once.
+def pairs_and_ranks(
+    posts: DataFrame, unit: str = "token", order: str = "period", ids: bool = True, **cleaning
+) -> tuple[DataFrame, DataFrame]:
+    """(weighted word pairs of all posts, ranks). The detectors only need to tell pairs apart, so
+    words become ids where the vocabulary shows that this loses nothing. Cleaned posts feed both, so they are written once.
 
     A post turns into many pairs, so the posts are laid out over the full shuffle width first;
     adaptive execution would merge them by their own, much smaller, size.
     """
     clean = graph.graph_posts(posts, **cleaning)
     clean = materialise(clean.repartition(shuffle_width(posts.sparkSession), "row_id"), "graph-posts")
-    return graph.cooccurrence_edges(clean, unit), materialise(graph.period_rank(clean, order), "ranks")
+    ranks = materialise(graph.period_rank(clean, order), "ranks")
+    ids = ids and unit == "token" and graph.ids_are_exact(clean)
+    return graph.word_pairs(clean, unit, ids).select("MatchID", "PeriodID", "a", "b", "w"), ranks
+
+
+def graphs(posts: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(edges, ranks): the pairs summed per period, with the words themselves."""
+    pairs, ranks = pairs_and_ranks(posts, ids=False, **options)
+    return graph.sum_pairs(pairs), ranks
 
 
 def detect(
@@ -33,11 +44,12 @@ def detect(
     order: str = "period",
 ) -> DataFrame:
     """(MatchID, PeriodID, rank, score or distance, is_event) for every existing period."""
-    edges, ranks = graphs(posts, unit, order)
+    pairs, ranks = pairs_and_ranks(posts, unit, order)
     if method == "evolution":
-        return graph.detect_evolution(graph.evolution_distance(edges, ranks), threshold)
+        return graph.detect_evolution(graph.evolution_distance(pairs, ranks), threshold)
     if method == "deviation":
-        return graph.detect_deviation(graph.deviation_score(edges, ranks, window), threshold)
+        scores = graph.deviation_score(graph.sum_pairs(pairs), ranks, window)
+        return graph.detect_deviation(scores, threshold)
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -62,11 +74,11 @@ def threshold_report(
 
     Scores are computed once per window and all thresholds are tried on the score table.
     """
-    edges, ranks = graphs(posts, unit)
+    pairs, ranks = pairs_and_ranks(posts, unit)
     if method == "evolution":
-        distances = materialise(graph.evolution_distance(edges, ranks), "distances")
+        distances = materialise(graph.evolution_distance(pairs, ranks), "distances")
         return ev.evaluate_sweep(graph.sweep_evolution(distances, thresholds), labels, ["threshold"])
-    edges = materialise(edges, "edges")
+    edges = materialise(graph.sum_pairs(pairs), "edges")
     parts = []
     for window in windows:
         scores = graph.deviation_score(edges, ranks, window)
