@@ -6,7 +6,6 @@ from periodlens.catalog.registry import query, sql_tokens
 from periodlens.functions import text as tx
 from periodlens.operators import features as ft
 from periodlens.operators import neighbours as nb
-from periodlens.operators import periods as pe
 from periodlens.plans import exploration
 from periodlens.session import materialise
 from periodlens.sources import testtables as tt
@@ -202,8 +201,7 @@ def select_feature_columns(spark, sf):
 
 
 WV_SQL = f"""
-wc AS (SELECT word, count(*) AS n FROM (SELECT unnest({sql_tokens('lower(Tweet)')}) AS word FROM posts) GROUP BY word),
-wr AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS vec_id FROM wc),
+wr AS (SELECT word, min(doc_id) AS vec_id FROM (SELECT doc_id, unnest({sql_tokens('lower(Tweet)')}) AS word FROM posts) GROUP BY word),
 wv AS (SELECT word, list_transform(embedding, lambda v: v::DOUBLE) AS vec FROM wr JOIN embeddings USING (vec_id)),
 tk AS (SELECT row_id, {sql_tokens('lower(Tweet)')} AS ws FROM posts),
 pl AS (SELECT row_id, CAST(g AS INT) AS pos, ws[g + 1] AS word FROM tk, generate_series(0, 19) t(g))
@@ -217,16 +215,11 @@ pl AS (SELECT row_id, CAST(g AS INT) AS pos, ws[g + 1] AS word FROM tk, generate
     "posts",
 )
 def token_vectors(spark, sf):
-    """The most frequent words take the embedding vectors in order; all other words are unknown."""
+    """A word takes the vector numbered like the first document it occurs in; others are unknown."""
     posts = tt.posts(spark, sf)
-    vectors = tt.table(spark, sf, "embeddings")
-    words = posts.select(tx.tokenize(F.lower("Tweet")).alias("ws"))
-    ranked = pe.word_frequency(words, "ws", vectors.count()).select(
-        F.posexplode(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), lambda s: s["word"])).alias(
-            "vec_id", "word"
-        )
-    )
-    table = ranked.join(vectors, "vec_id").select("word", F.col("embedding").alias("vec"))
+    words = posts.select("doc_id", F.explode(tx.tokenize(F.lower("Tweet"))).alias("word"))
+    firsts = words.groupBy("word").agg(F.min("doc_id").alias("vec_id"))
+    table = firsts.join(tt.table(spark, sf, "embeddings"), "vec_id").select("word", F.col("embedding").alias("vec"))
     done = ft.token_vectors(posts, "row_id", "Tweet", table, DIMS, 20)
     return done.select(
         "row_id", "pos", "word",
