@@ -128,7 +128,7 @@ def mix(
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goal = saved(targets(sources, weights, share, most), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    h = F.xxhash64(F.lit(seed), F.col("id"), F.col("size"))
+    h = F.xxhash64(F.lit(seed), F.col("id.id"), F.col("size"))
     per_source = goal.select(
         F.col("source").alias("_s"), "rank", "source_size", "target", "docs", F.floor(rate).alias("base"),
         (rate - F.floor(rate)).alias("p"),

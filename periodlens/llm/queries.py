@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodlens.llm import lines, mixing
+from periodlens.llm import lines, mixing, packing, quality, secrets, spans, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,71 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the spans of its secrets."""
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("strong", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in secrets.STRONG],
+        F.sha2(secrets.listed(F.col("strong")), 256).alias("base_sha256"),
+        secrets.listed(F.sort_array(F.concat("strong", "linked"))).alias("spans"),
+    )
+
+
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and its class."""
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that earlier documents hold and a digest of the others."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its rule counts and the classifier's verdict."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.tokenise(docs, tokenizer_path(), ids=False)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+OP4_SQL = """
+WITH ws AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM ws WHERE len(w) >= 13),
+keyed AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM win),
+marked AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS lo FROM keyed) WHERE lo < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM marked),
+per AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM ws),
+kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS t
+  FROM word w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i WHERE g.i IS NULL GROUP BY w.doc_id)
+SELECT ws.doc_id, len(ws.w) AS n_words, coalesce(len(per.g), 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM ws LEFT JOIN per ON per.doc_id = ws.doc_id LEFT JOIN kept ON kept.doc_id = ws.doc_id
+"""
+
 OP8_SQL = """
 WITH line AS (
   SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
@@ -53,5 +118,11 @@ SELECT d.doc_id, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS
 FROM documents d LEFT JOIN res r ON r.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op8_line_dedup)}
-ORACLES = {"op8_line_dedup": OP8_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mix, op2_secret_scan, op3_vector_dedup, op4_span_dedup, op8_line_dedup, op9_quality_rules,
+        op10_best_fit_packing,
+    )
+}
+ORACLES = {"op4_span_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL}
