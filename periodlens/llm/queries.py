@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodlens.llm import lines, mixing, packing, quality, secrets, spans, vectors
+from periodlens.llm import importance, jaccard, language, lines, mixing, packing, quality, secrets, spans, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,28 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language, learned from two thirds of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs)
+    return found.select(
+        "row.doc_id", language.held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
+    )
+
+
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its log ratio of good to all texts, its draw, and whether it is kept."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+    return importance.resample(docs, good)
+
+
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of three-word shingles and its class at 90 %."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.overlap_classes(docs, width=3, num=90, den=100)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the lines it loses and a digest of the text it keeps."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -121,7 +143,8 @@ FROM documents d LEFT JOIN res r ON r.doc_id = d.doc_id
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_source_mix, op2_secret_scan, op3_vector_dedup, op4_span_dedup, op8_line_dedup, op9_quality_rules,
+        op1_source_mix, op2_secret_scan, op3_vector_dedup, op4_span_dedup, op5_language_id, op6_importance_resampling,
+        op7_shingle_join, op8_line_dedup, op9_quality_rules,
         op10_best_fit_packing,
     )
 }
