@@ -7,6 +7,7 @@ from periodlens.catalog import (  # noqa: F401  (registration)
     evaluation,
     features,
     learning,
+    sources,
     streams,
     texts,
 )

@@ -347,12 +347,12 @@ def remove_listed_words(spark, sf):
     "cap_and_mask",
     """WITH p AS (SELECT ID, Tweet, row_number() OVER (PARTITION BY ID ORDER BY row_id) AS pos FROM posts WHERE Tweet IS NOT NULL),
     c AS (SELECT ID, count(Tweet) AS n FROM posts GROUP BY ID)
-    SELECT ID, CAST(pos AS INT) AS pos, Tweet, true AS is_real FROM p WHERE pos <= 200
-    UNION ALL SELECT ID, CAST(g AS INT), '[No Tweets]', false FROM c, generate_series(1, 200) t(g) WHERE g > n""",
+    SELECT ID, CAST(pos AS INT) AS pos, Tweet, true AS is_real FROM p WHERE pos <= 1500
+    UNION ALL SELECT ID, CAST(g AS INT), '[No Tweets]', false FROM c, generate_series(1, 1500) t(g) WHERE g > n""",
     "posts",
 )
 def cap_and_mask(spark, sf):
-    return pe.cap_and_mask(tt.posts(spark, sf), 200)
+    return pe.cap_and_mask(tt.posts(spark, sf), 1500)
 
 
 @query(

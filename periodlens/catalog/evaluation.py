@@ -104,15 +104,15 @@ def vote_value_counts(spark, sf):
 
 def two_predictions(spark, sf):
     v = votes(spark, sf)
-    a = ev.majority_vote(v.where("event_type = 'click'"), "event_id")
-    b = ev.majority_vote(v.where("event_type = 'view'"), "event_id")
+    a = ev.majority_vote(v.where("event_id % 2 = 0"), "event_id")
+    b = ev.majority_vote(v.where("event_id % 2 = 1"), "event_id")
     return a, b
 
 
 TWO_SQL = VOTES_SQL + """,
-c AS (SELECT event_type, ID, EventType, count(*) AS n, min(event_id) AS f FROM votes WHERE event_type IN ('click', 'view') GROUP BY ALL),
-m AS (SELECT event_type, ID, EventType FROM c QUALIFY row_number() OVER (PARTITION BY event_type, ID ORDER BY n DESC, f) = 1),
-pa AS (SELECT ID, EventType FROM m WHERE event_type = 'click'), pb AS (SELECT ID, EventType FROM m WHERE event_type = 'view')
+c AS (SELECT event_id % 2 AS half, ID, EventType, count(*) AS n, min(event_id) AS f FROM votes GROUP BY ALL),
+m AS (SELECT half, ID, EventType FROM c QUALIFY row_number() OVER (PARTITION BY half, ID ORDER BY n DESC, f) = 1),
+pa AS (SELECT ID, EventType FROM m WHERE half = 0), pb AS (SELECT ID, EventType FROM m WHERE half = 1)
 """
 
 
@@ -205,8 +205,8 @@ SUMMARY_SQL = r"""
 f AS (SELECT * FROM trials ORDER BY number LIMIT 30),
 t AS (SELECT number AS "Trial", CAST(printf('%.3f', value) AS DOUBLE) AS "Accuracy",
   regexp_replace(regexp_replace(printf('%.2f', params_dropout_prob), '0+$', ''), '\.$', '') AS "Dropout",
-  replace(regexp_replace(regexp_replace(printf('%.1e', params_learning_rate), '0+$', ''), '[e-]+$', ''), 'e-0', 'e-') AS "Learning Rate",
-  replace(regexp_replace(regexp_replace(printf('%.1e', params_weight_decay), '0+$', ''), '[e-]+$', ''), 'e-0', 'e-') AS "Weight Decay",
+  replace(printf('%.1e', params_learning_rate), 'e-0', 'e-') AS "Learning Rate",
+  replace(printf('%.1e', params_weight_decay), 'e-0', 'e-') AS "Weight Decay",
   params_num_heads AS "Num Heads", params_fc1_dim AS "FC1 Dim" FROM f)
 SELECT *, "Trial" = (SELECT "Trial" FROM t ORDER BY "Accuracy" DESC, "Trial" LIMIT 1) AS is_best FROM t
 """

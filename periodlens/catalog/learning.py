@@ -96,7 +96,7 @@ def model_param_search(spark, sf):
 
 @query("model_param_importance")
 def model_param_importance(spark, sf):
-    return md.param_importance(tt.trials(spark, sf).drop("params_weight_decay"))
+    return md.param_importance(tt.trials(spark, sf))
 
 
 @query("model_period_classifier")

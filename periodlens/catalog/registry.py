@@ -60,24 +60,24 @@ def sql_list(words: list[str]) -> str:
 # The stop words the queries use; operators take any list.
 STOPWORDS = "a and are as at by der des die el en es et for in is la le les los of on que the to und un".split()
 
-SQL_CLEAN_STEPS = sql_remove(
-    sql_remove(
-        sql_remove(
-            sql_remove(sql_remove("lower(Tweet)", tx.URL_GRAPH), tx.MENTION_GRAPH), tx.HASHTAG
-        ),
-        tx.NONWORD_RUN,
-        " ",
-    ),
-    tx.RETWEET,
+SQL_CLEAN_BASE = sql_remove(
+    sql_remove(sql_remove(sql_remove("lower(Tweet)", tx.URL_GRAPH), tx.MENTION_GRAPH), tx.HASHTAG),
+    tx.NONWORD_RUN,
+    " ",
 )
-# Every step of the literal rule order, including those the Spark expression can leave out.
-SQL_CLEAN_TOKENS = sql_tokens(
-    sql_remove(
-        sql_remove(sql_remove(SQL_CLEAN_STEPS, tx.MENTION_HANDLE), tx.NONWORD_RUN, " "),
-        f"[{tx.SPACE}+]",
-        " ",
+
+
+def sql_clean_tokens(after_retweets: str) -> str:
+    """Every step of the literal rule order, including those the Spark expression can leave out."""
+    return sql_tokens(
+        sql_remove(
+            sql_remove(sql_remove(after_retweets, tx.MENTION_HANDLE), tx.NONWORD_RUN, " "), f"[{tx.SPACE}+]", " "
+        )
     )
-)
+
+
+SQL_CLEAN_TOKENS = sql_clean_tokens(sql_remove(SQL_CLEAN_BASE, tx.RETWEET))
+SQL_CLEAN_TOKENS_ANCHORED = sql_clean_tokens(sql_remove(SQL_CLEAN_BASE, f"(^|[^{tx.WORD}]){tx.RETWEET}", "\\1"))
 
 
 def sql_distinct(words: str) -> str:

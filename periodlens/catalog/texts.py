@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from periodlens.catalog.registry import (
     SQL_CLEAN_TOKENS,
+    SQL_CLEAN_TOKENS_ANCHORED,
     SQL_EXPLORE_TOKENS,
     SQL_IS_CLEAN,
     SQL_ML_TOKENS,
@@ -90,6 +91,15 @@ def text_clean_graph(spark, sf):
     return texts(spark, sf).select("row_id", tx.clean_graph(F.col("Tweet")).alias("v"))
 
 
+@query(
+    "text_clean_graph_anchored",
+    f"SELECT row_id, array_to_string({sql_distinct('ws')}, ' ') AS v FROM (SELECT row_id, {SQL_CLEAN_TOKENS_ANCHORED} AS ws FROM texts)",
+    "posts texts",
+)
+def text_clean_graph_anchored(spark, sf):
+    return texts(spark, sf).select("row_id", tx.clean_graph(F.col("Tweet"), anchored=True).alias("v"))
+
+
 @query(
     "text_tokens",
     f"SELECT row_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT row_id, {sql_tokens('Tweet')} AS ws FROM posts)",
@@ -204,7 +214,7 @@ def projection_predictions(spark, sf):
     "number_formats",
     """SELECT p_partkey, round(p_retailprice / 7, 2) AS rounded,
        regexp_replace(regexp_replace(printf('%.2f', p_size / 8.0::DOUBLE), '0+$', ''), '\\.$', '') AS fixed,
-       replace(regexp_replace(regexp_replace(printf('%.1e', p_size / 10000.0::DOUBLE), '0+$', ''), '[e-]+$', ''), 'e-0', 'e-') AS sci,
+       replace(printf('%.1e', p_size / 10000.0::DOUBLE), 'e-0', 'e-') AS sci,
        TRY_CAST(p_brand AS DOUBLE) AS no_number, TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE) AS number FROM part""",
 )
 def number_formats(spark, sf):

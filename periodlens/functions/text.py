@@ -52,7 +52,7 @@ def nonword_to_space(text: Column) -> Column:
 
 def strip_retweet_tokens(text: Column, anchored: bool = False) -> Column:
     """Remove ``rt name``. Unanchored it also eats the end of words such as "support them"."""
-    return F.regexp_replace(text, (r"\b" if anchored else "") + RETWEET, "")
+    return F.regexp_replace(text, (rf"(?<![{WORD}])" if anchored else "") + RETWEET, "")
 
 
 def normalise_whitespace(text: Column) -> Column:
@@ -208,10 +208,8 @@ def fixed_digits(value: Column, digits: int) -> Column:
 
 
 def scientific(value: Column) -> Column:
-    """One-digit scientific text; the exponent loses its leading zero when negative: 1.0e-4."""
-    text = F.regexp_replace(F.format_string("%.1e", value.cast("double")), r"0+$", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"[e-]+$", ""), "e-0", "e-")
-    return F.when(value.isNotNull(), text)
+    """One-digit scientific text; the exponent loses its leading zero when negative: 1.0e-4, 1.0e-10."""
+    return F.when(value.isNotNull(), F.replace(F.format_string("%.1e", value.cast("double")), F.lit("e-0"), F.lit("e-")))
 
 
 def to_number(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -121,7 +122,7 @@ def stratified_split(
     placed = numbered(hashed, [label], "_h", "_n", tie=[key], segment=2**24, block=2**32)
     sizes = df.groupBy(label).agg(F.round(F.count("*") * fraction).cast("bigint").alias("_take"))
     side = F.when(F.col("_n") <= F.col("_take"), "validation").otherwise("train")
-    return lookup_join(placed, sizes, [label]).withColumn("split", side).select(*df.columns, "split")
+    return lookup_join(placed, sizes, [label], nulls=True).withColumn("split", side).select(*df.columns, "split")
 
 
 def split_members(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
@@ -134,19 +135,24 @@ def split_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def hashing_vector(words: Column, dims: int = 64) -> Column:
-    """Signed hashing vector of a word list, in the row: word -> one slot, one sign."""
-    slot = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    sign = F.transform(
-        words, lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    )
-    pairs = F.arrays_zip(slot.alias("slot"), sign.alias("sign"))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda d: F.aggregate(
-            F.filter(pairs, lambda p: p["slot"] == d), F.lit(0.0), lambda acc, p: acc + p["sign"]
-        ),
+    """Signed hashing vector of a word list, in the row: word -> one slot, one sign.
+
+    Words are hashed once; the signs of a slot are summed in Arrow batches.
+    """
+    # Slot and sign of a word as one number: 2 * slot, plus 1 for a minus.
+    codes = F.transform(
+        words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)) * 2 + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))
     )
 
+    @F.pandas_udf("array<double>")
+    def summed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(
+                lambda c: None if c is None else np.bincount(c >> 1, 1.0 - 2.0 * (c & 1), dims).astype("float64")
+            )
+
+    return summed(codes)
+
 
 def embed_text(
     df: DataFrame, text: str, encode: Callable[[pd.Series], list] | None = None, dims: int = 64

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from periodlens.session import null_safe_join
+
 SEGMENT = 2**20
 BLOCK = 2**36
 
@@ -43,7 +45,10 @@ def running(
     segment: int = SEGMENT,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Add running aggregates (current row included) over integer ``order`` inside ``keys``."""
+    """Add running aggregates (current row included) over integer ``order`` inside ``keys``.
+
+    Null is a key like any other; rows without an order value come first in a segment of their own.
+    """
     values = {
         name: F.lit(1).cast("bigint") if spec.kind == "count" else spec.value
         for name, spec in columns.items()
@@ -86,8 +91,9 @@ def running(
     offsets = segments.select(
         *cell,
         *[spec.total(F.col(f"_t_{n}")).over(before_segment).alias(f"_os_{n}") for n, spec in columns.items()],
-    ).join(block_offsets, [*keys, "_blk"])
-    return within.join(offsets, cell).select(
+    )
+    offsets = null_safe_join(offsets, block_offsets, [*keys, "_blk"])
+    return null_safe_join(within, offsets, cell).select(
         *df.columns,
         *[
             spec.combine(

@@ -157,7 +157,8 @@ def tweets_by_year_date(df: DataFrame, date: str) -> DataFrame:
 
 
 def distinct_dates(df: DataFrame, date: str, year: int) -> DataFrame:
-    return df.where(F.year(date) == year).select(F.col(date).alias("Date")).distinct().orderBy("Date")
+    start, end = (F.lit(f"{y:04d}-01-01").cast(df.schema[date].dataType) for y in (year, year + 1))
+    return df.where((F.col(date) >= start) & (F.col(date) < end)).select(F.col(date).alias("Date")).distinct().orderBy("Date")
 
 
 def avg_tweets_per_minute(df: DataFrame) -> DataFrame:
@@ -319,16 +320,13 @@ def remove_listed(df: DataFrame, words: str, table: DataFrame) -> DataFrame:
 def cap_and_mask(df: DataFrame, max_n: int, pad: str = tx.NO_TEXTS) -> DataFrame:
     """Exactly ``max_n`` positions per period: its first posts, then padding, with a mask.
 
-    ``row_number() <= n`` is pruned to ``max_n`` rows per key in every map task before the
-    shuffle, so the size of a period does not matter.
+    Positions are counted in segments, so neither ``max_n`` nor the size of a period matters.
     """
-    order = Window.partitionBy("ID").orderBy("row_id")
+    texts = df.where(F.col("Tweet").isNotNull()).select("ID", "row_id", "Tweet")
     real = (
-        df.where(F.col("Tweet").isNotNull())
-        .select("ID", "row_id", "Tweet")
-        .withColumn("pos", F.row_number().over(order))
+        numbered(texts, ["ID"], "row_id")
         .where(F.col("pos") <= max_n)
-        .select("ID", "pos", "Tweet", F.lit(True).alias("is_real"))
+        .select("ID", F.col("pos").cast("int").alias("pos"), "Tweet", F.lit(True).alias("is_real"))
     )
     short = (
         df.groupBy("ID").agg(F.count("Tweet").alias("n")).where(F.col("n") < max_n)
@@ -363,14 +361,14 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 def describe(df: DataFrame, col: str, accuracy: int = 10_000) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles (linear interpolation), maximum.
 
-    The first pass brackets every quartile with rank-bounded sketches. The second pass counts
-    the rows below each bracket and the frequency of the values inside it, and only those
-    values are ranked, so no task ever sees the whole column.
+    A sketch brackets every quartile by its rank, a little wider than the sketch can err. A second
+    pass counts the rows below each bracket and the frequency of the values inside it, and only
+    those values are ranked, so no task ever sees the whole column.
     """
     x = F.col(col).cast("double")
     data = df.where(x.isNotNull()).select(x.alias("x"))
     probs = [0.25, 0.5, 0.75]
-    slack = 3.0 / accuracy
+    slack = 3.0 / accuracy + 2.0 / max(1, data.count())
     marks = [min(1.0, max(0.0, p + s)) for p in probs for s in (-slack, slack)]
     first = data.agg(
         F.count("x").alias("n"),
@@ -384,11 +382,7 @@ def describe(df: DataFrame, col: str, accuracy: int = 10_000) -> DataFrame:
     if n == 0:
         return data.agg(F.count("x").alias("n"), *[F.avg("x").alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
     rank = {p: p * (n - 1) for p in probs}
-    if n <= accuracy:
-        # Few rows: rank them all.
-        edges = {p: (first["min"], first["max"]) for p in probs}
-    else:
-        edges = {p: (first["marks"][2 * i], first["marks"][2 * i + 1]) for i, p in enumerate(probs)}
+    edges = {p: (first["marks"][2 * i], first["marks"][2 * i + 1]) for i, p in enumerate(probs)}
     below = data.agg(*[F.count_if(F.col("x") < edges[p][0]).alias(f"b{i}") for i, p in enumerate(probs)])
     inside = F.array_compact(
         F.array(*[F.when(F.col("x").between(*edges[p]), F.lit(i)) for i, p in enumerate(probs)])

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "periodlens", **conf: str) -> SparkSession:
@@ -47,13 +48,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+INPUT_PARTITIONS = "spark.periodlens.inputPartitions"
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core for row-wise work on an input with fewer splits than cores.
+    """Deal the rows by ``key`` to as many partitions as the session's setting asks for.
 
-    A large input has more splits than the cluster has cores and is left as it is.
+    The setting is for inputs in fewer splits than there are cores, which only their owner knows.
+    Unset, the input is read as it is split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted), key) if wanted else df
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -73,11 +78,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join to a table that is usually small, without assuming that it is.
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An inner or left join on columns of equal names in which null meets null."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(named, same, how).drop(*[f"_r_{c}" for c in on])
+
+
+def lookup_join(
+    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", nulls: bool = False
+) -> DataFrame:
+    """Join to a table that is usually small, without assuming that it is. ``nulls``: null meets null.
 
     The right side is written first, so its size is known when the join is planned: below the
     broadcast threshold the big side is not shuffled at all; above it Spark takes a shuffled
     join, where adaptive execution splits hot keys.
     """
-    return big.join(materialise(small, "lookup"), on, how)
+    small = materialise(small, "lookup")
+    return null_safe_join(big, small, on, how) if nulls else big.join(small, on, how)

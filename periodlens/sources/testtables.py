@@ -14,6 +14,7 @@ from periodlens.functions import text as tx
 from periodlens.session import lookup_join, spread
 
 WORDS_PER_POST = 16
+PIECES = 100000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +50,10 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _period().alias("PeriodID"),
         F.posexplode(_pieces("text")).alias("pos", "piece"),
     )
-    row_id = F.col("doc_id") * 100000 + F.col("pos")
+    # A document of more pieces would share ids with the next one.
+    row_id = F.when(F.col("pos") < PIECES, F.col("doc_id") * PIECES + F.col("pos")).otherwise(
+        F.raise_error(F.lit("a document has too many posts"))
+    )
     return pieces.select(
         row_id.alias("row_id"),
         "doc_id",

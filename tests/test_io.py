@@ -19,7 +19,7 @@ def test_tweets_round_trip(spark, tmp_path):
     assert got["9_0"]["EventType"] is None and got["9_0"]["source_file"] == "b.csv"
     one = io.read_tweets(spark, str(tmp_path / "in" / "b.csv"))
     assert one.schema == schemas.POSTS_LABELLED and one.count() == 1
-    assert io.with_row_id(one).first()["row_id"] == 0
+    assert io.with_row_id(one, ["Timestamp", "ID"]).first()["row_id"] == 0
 
     io.write_by_match(df, str(tmp_path / "by_match"))
     assert sorted(p.name for p in (tmp_path / "by_match").glob("MatchID=*")) == ["MatchID=6", "MatchID=9"]
