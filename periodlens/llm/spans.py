@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from periodlens.llm import wordhash as wh
-from periodlens.llm.tables import saved
+from periodlens.llm.tables import discard, saved
 
 WIDTH = 13
 PROBE = 5
@@ -62,11 +62,11 @@ def _probes(docs: DataFrame, width: int, probe: int) -> DataFrame:
 
 
 def _edges(rows: DataFrame, width: int, probe: int) -> DataFrame:
-    """(a, b, id, mark, at): 128-bit hash and place of the edges whose least run is in ``hs``."""
+    """(a, b, id, row, at): 128-bit hash and place of the edges whose least run is in ``hs``."""
     schema = T.StructType(
         [
             T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), rows.schema["id"],
-            T.StructField("mark", T.LongType()), T.StructField("at", T.IntegerType()),
+            T.StructField("row", T.LongType()), T.StructField("at", T.IntegerType()),
         ]
     )
 
@@ -88,44 +88,47 @@ def _edges(rows: DataFrame, width: int, probe: int) -> DataFrame:
                         pa.array(wh.signed(wh.windows(w.hashes, width)[at])),
                         pa.array(wh.signed(wh.windows(w.hashes, width, 0x9FB21C651E98DF25)[at])),
                         batch.column("id").slice(lo, hi - lo).take(pick),
-                        batch.column("mark").slice(lo, hi - lo).take(pick),
+                        batch.column("row").slice(lo, hi - lo).take(pick),
                         pa.array((at - w.first[row]).astype(np.int32)),
                     ],
                     names=schema.names,
                 )
 
-    return rows.select("id", "mark", "text", "hs").mapInArrow(build, schema)
+    return rows.select("id", F.xxhash64("id", "mark").alias("row"), "text", "hs").mapInArrow(build, schema)
 
 
 def repeated_paths(edges: DataFrame) -> DataFrame:
     """(a, b, lo, length): first edge, smallest id and number of edges of each compacted path."""
-    place = F.struct("id", "mark", "at")
+    # A place is the upper half of a row's hash and the position in it; equal halves of different
+    # rows do no harm, as edges merge only if all their full places agree.
+    place = F.col("row").bitwiseAND(F.lit(0x7FFFFFFF80000000)).bitwiseOR(F.col("at").cast("long"))
+    print32 = lambda at: F.bit_xor(F.xxhash64("row", at).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     repeated = (
         edges.groupBy("a", "b")
         .agg(
             F.min(place).alias("rep"),
+            F.min("id").alias("lo"),
             F.max("id").alias("hi"),
             F.count("*").alias("n"),
-            F.bit_xor(F.xxhash64("id", "mark", "at")).alias("here"),
-            F.bit_xor(F.xxhash64("id", "mark", F.col("at") + 1)).alias("next"),
+            print32(F.col("at")).alias("here"),
+            print32(F.col("at") + 1).alias("next"),
         )
-        .where(F.col("rep.id") < F.col("hi"))
-        .select("a", "b", "rep.*", "n", "here", "next")
-    )
-    # The edges that a document is first to hold, in order; a document bounds the window.
-    along = Window.partitionBy("id", "mark").orderBy("at")
-    linked = (
-        (F.lag("at").over(along) == F.col("at") - 1)
-        & (F.lag("n").over(along) == F.col("n"))
-        & (F.lag("next").over(along) == F.col("here"))
+        .where("lo < hi")
+        .withColumn("doc", F.shiftright("rep", 31))
     )
+    # The edges that a document is the one to stand for, in order; a document bounds the window.
+    along = Window.partitionBy("doc").orderBy("rep")
+    same = [F.lag(c).over(along) == F.col(c) for c in ("n", "lo", "hi")]
+    linked = (F.lag("rep").over(along) == F.col("rep") - 1) & (F.lag("next").over(along) == F.col("here"))
+    for s in same:
+        linked = linked & s
     heads = repeated.withColumn("head", ~F.coalesce(linked, F.lit(False)))
     path = F.count_if("head").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         heads.withColumn("path", path)
-        .groupBy("id", "mark", "path")
-        .agg(F.min_by(F.struct("a", "b"), "at").alias("e"), F.count("*").alias("length"))
-        .select("e.a", "e.b", F.col("id").alias("lo"), "length")
+        .groupBy("doc", "path")
+        .agg(F.min_by(F.struct("a", "b"), "rep").alias("e"), F.min("lo").alias("lo"), F.count("*").alias("length"))
+        .select("e.a", "e.b", "lo", "length")
     )
 
 
@@ -150,24 +153,28 @@ def remove_repeats(
         same.join(firsts, ["mark", "mark2"]).where("id > lo").select("id", "mark").distinct(), "span-copies"
     )
     probes = saved(_probes(known, width, probe), "span-probes")
-    shared = probes.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    shared = saved(
+        probes.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h"), "span-shared"
+    )
     wanted = saved(
-        probes.join(shared.select("h"), "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("hs")),
-        "span-wanted",
+        probes.join(shared, "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("hs")), "span-wanted"
     )
+    discard(probes)
     rows = known.join(wanted, "id").join(copies, ["id", "mark"], "left_anti")
     edges = saved(_edges(rows, width, probe), "span-edges")
     paths = saved(repeated_paths(edges), "span-paths")
+    span = lambda start, end: F.struct(start.cast("long").alias("from"), end.cast("long").alias("to")).alias("s")
     found = (
         edges.join(paths, ["a", "b"])
         .where(F.col("id") > F.col("lo"))
-        .select("id", "mark", F.struct(F.col("at").cast("long").alias("from"), (F.col("at") + F.col("length") + width - 1).alias("to")).alias("s"))
+        .select("id", "row", span(F.col("at"), F.col("at") + F.col("length") + width - 1))
     )
-    whole = copies.select("id", "mark", F.struct(F.lit(0).cast("long").alias("from"), F.lit(2**62).alias("to")).alias("s"))
-    spans = saved(found.unionByName(whole).groupBy("id", "mark").agg(F.collect_set("s").alias("spans")), "span-places")
+    whole = copies.select("id", F.xxhash64("id", "mark").alias("row"), span(F.lit(0), F.lit(2**62)))
+    spans = saved(found.unionByName(whole).groupBy("id", "row").agg(F.collect_set("s").alias("spans")), "span-places")
+    discard(edges)
     joined = plain.join(
-        spans.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "spans"),
-        (F.col("id") == F.col("_id")) & (F.col("mark") == F.col("_mark")),
+        spans.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "spans"),
+        (F.col("id") == F.col("_id")) & (F.xxhash64("id", "mark") == F.col("_row")),
         "left",
     ).select("id", "text", "spans")
     return _cut(joined, id_col, width)

@@ -29,6 +29,18 @@ def saved(df: DataFrame, label: str) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table made by ``saved`` that nothing reads any more.
+
+    A failure to remove it is left to whoever clears the shared folder.
+    """
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
