@@ -65,24 +65,13 @@ def _char_units(clean: DataFrame) -> DataFrame:
     )
 
 
-def ids_are_exact(clean: DataFrame) -> bool:
-    """Whether no two words of the data share a 64-bit hash."""
-    words = clean.select(F.explode(tx.tokenize(F.col("Preprocessed_Tweet"))).alias("w")).distinct()
-    return words.groupBy(F.xxhash64("w")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-
-
-def word_pairs(clean: DataFrame, unit: str = "token", ids: bool = False) -> DataFrame:
+def word_pairs(clean: DataFrame, unit: str = "token") -> DataFrame:
     """Every unordered pair of distinct units of a post with weight ``1 / number of units``.
 
     Both generators run inside the row, so pairs are streamed into the next aggregation; a
-    post of any length is taken whole. With ``ids`` the words are replaced by their hashes
-    before pairing, which halves the cost of everything keyed by the pair; use it where only
-    the identity of a pair matters and ``ids_are_exact`` holds.
+    post of any length is taken whole.
     """
     units = {"token": _token_units, "char": _char_units}[unit](clean)
-    if ids:
-        hashed = F.transform("units", lambda u: F.xxhash64(u))
-        units = units.withColumn("units", F.array_sort(hashed))
     return (
         units.select(
             "row_id", *PERIOD, "units", "n_units", F.posexplode("units").alias("i", "a")
@@ -291,16 +280,17 @@ def _coefficient_sum(keys: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series([solve(c, v) for c, v in zip(keys, values)], dtype="float64")
 
 
-def deviation_score(
+def normal_equations(
     edges: DataFrame,
     ranks: DataFrame,
     window: int = DEVIATION_WINDOW,
     edges_per_cell: int = 50_000,
     periods_per_chunk: int = 64,
 ) -> DataFrame:
-    """Sum of least-squares coefficients of a period's edges on up to ``window`` earlier periods.
+    """(MatchID, rank, i, j, v): normal equations of every period on up to ``window`` earlier ones.
 
-    The normal equations are additive over edges, so edges are spread over cells of one match,
+    ``i`` and ``j`` are earlier ranks; ``j`` -1 is the period itself. The equations of a smaller
+    window are a part of those of a larger one. The normal equations are additive over edges, so edges are spread over cells of one match,
     a chunk of periods and a hash bucket of the word pair; the number of buckets follows the
     edge count of the match. Cells emit small partial matrices (a pair seen in one period of the
     chunk adds nothing), which are summed and solved per period. Only window-sized matrices
@@ -336,10 +326,18 @@ def deviation_score(
         F.col("cross"),
         lambda v, n: F.struct(F.get("live", n).alias("i"), F.lit(-1).alias("j"), v.alias("v")),
     )
-    summed = (
+    return (
         parts.select("MatchID", "rank", F.inline(F.concat(gram, cross)))
         .groupBy("MatchID", "rank", "i", "j")
         .agg(F.sum("v").alias("v"))
+    )
+
+
+def solved_scores(equations: DataFrame, ranks: DataFrame, window: int = DEVIATION_WINDOW) -> DataFrame:
+    """Scores for a window from the equations of that or a larger window."""
+    first = F.col("rank") - window
+    summed = (
+        equations.where((F.col("i") >= first) & ((F.col("j") >= first) | (F.col("j") < 0)))
         .groupBy("MatchID", "rank")
         .agg(F.array_sort(F.collect_list(F.struct("i", "j", "v"))).alias("m"))
     )
@@ -358,6 +356,13 @@ def deviation_score(
     )
 
 
+def deviation_score(
+    edges: DataFrame, ranks: DataFrame, window: int = DEVIATION_WINDOW, **options: int
+) -> DataFrame:
+    """Sum of least-squares coefficients of a period's edges on up to ``window`` earlier periods."""
+    return solved_scores(normal_equations(edges, ranks, window, **options), ranks, window)
+
+
 def detect_deviation(scores: DataFrame, threshold: float = DEVIATION_THRESHOLD) -> DataFrame:
     return scores.select(
         "MatchID", "PeriodID", "rank", "score", (F.col("score") >= threshold).cast("int").alias("is_event")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from periodlens.functions import text as tx
 from periodlens.operators.ordered import Running, numbered, running
-from periodlens.session import lookup_join
+from periodlens.session import lookup_join, materialise
 
 
 def first_label_per_period(df: DataFrame) -> DataFrame:
@@ -41,6 +41,7 @@ def group_periods(df: DataFrame, segment_size: int = 1500) -> DataFrame:
     A period of ordinary size is one row (segment 0). A period that holds a large share of all
     posts becomes several rows, so no array grows with the data and nothing is cut off.
     """
+    df = materialise(df, "period-posts")
     segments = (
         period_posts(df)
         .withColumn("segment", F.floor(F.col("pos") / segment_size))

@@ -10,28 +10,25 @@ from pyspark.sql import functions as F
 from periodlens.operators import evaluate as ev
 from periodlens.operators import graph
 from periodlens.operators.rows import order_by_id
-from periodlens.session import materialise, shuffle_width
+from periodlens.session import materialise, spread
 
 
 def pairs_and_ranks(
-    posts: DataFrame, unit: str = "token", order: str = "period", ids: bool = True, **cleaning
+    posts: DataFrame, unit: str = "token", order: str = "period", **cleaning
 ) -> tuple[DataFrame, DataFrame]:
-    """(weighted word pairs of all posts, ranks). The detectors only need to tell pairs apart, so
-    words become ids where the vocabulary shows that this loses nothing. Cleaned posts feed both, so they are written once.
+    """(weighted word pairs of all posts, ranks). Cleaned posts feed both, so they are written once.
 
-    A post turns into many pairs, so the posts are laid out over the full shuffle width first;
-    adaptive execution would merge them by their own, much smaller, size.
+    A post turns into many pairs: ``spark.sql.files.maxPartitionBytes`` sets how many posts a task
+    reads, and ``spread`` deals out posts of an input too small for that.
     """
-    clean = graph.graph_posts(posts, **cleaning)
-    clean = materialise(clean.repartition(shuffle_width(posts.sparkSession), "row_id"), "graph-posts")
+    clean = materialise(spread(graph.graph_posts(posts, **cleaning), "row_id"), "graph-posts")
     ranks = materialise(graph.period_rank(clean, order), "ranks")
-    ids = ids and unit == "token" and graph.ids_are_exact(clean)
-    return graph.word_pairs(clean, unit, ids).select("MatchID", "PeriodID", "a", "b", "w"), ranks
+    return graph.word_pairs(clean, unit).select("MatchID", "PeriodID", "a", "b", "w"), ranks
 
 
 def graphs(posts: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """(edges, ranks): the pairs summed per period, with the words themselves."""
-    pairs, ranks = pairs_and_ranks(posts, ids=False, **options)
+    pairs, ranks = pairs_and_ranks(posts, **options)
     return graph.sum_pairs(pairs), ranks
 
 
@@ -72,16 +69,18 @@ def threshold_report(
 ) -> DataFrame:
     """Accuracy, precision, recall and F1 per threshold (and window).
 
-    Scores are computed once per window and all thresholds are tried on the score table.
+    The equations are summed once, for the largest window; every window is solved from them, and
+    all thresholds are tried on its score table.
     """
     pairs, ranks = pairs_and_ranks(posts, unit)
     if method == "evolution":
         distances = materialise(graph.evolution_distance(pairs, ranks), "distances")
         return ev.evaluate_sweep(graph.sweep_evolution(distances, thresholds), labels, ["threshold"])
-    edges = materialise(graph.sum_pairs(pairs), "edges")
+    windows = list(windows)
+    equations = materialise(graph.normal_equations(graph.sum_pairs(pairs), ranks, max(windows)), "equations")
     parts = []
     for window in windows:
-        scores = graph.deviation_score(edges, ranks, window)
+        scores = graph.solved_scores(equations, ranks, window)
         flags = graph.sweep_deviation(scores, thresholds)
         parts.append(ev.evaluate_sweep(flags, labels, ["threshold"]).withColumn("window", F.lit(window)))
     out = parts[0]

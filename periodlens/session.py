@@ -61,10 +61,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(wanted), key) if wanted else df
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
