@@ -1,4 +1,8 @@
-"""Model training and reports. Vocabulary size and rounds are small here; rows are never left out."""
+"""Model training and reports on all rows.
+
+Linear, kernel and forest learners run with their full settings. Boosting rounds run one after the
+other as Spark jobs, so the boosted learners use fewer rounds and a smaller vocabulary here.
+"""
 
 from pyspark.sql import functions as F
 
@@ -18,27 +22,27 @@ def prepared(spark, sf, max_features):
 
 @query("model_logreg_report")
 def model_logreg_report(spark, sf):
-    data = prepared(spark, sf, 1000)
+    data = prepared(spark, sf, ft.MAX_FEATURES)
     return md.report(md.train_logreg(data.train), data.test)
 
 
 @query("model_kernel_svm_report")
 def model_kernel_svm_report(spark, sf):
-    data = prepared(spark, sf, 500)
+    data = prepared(spark, sf, ft.MAX_FEATURES)
     sparse = ft.tfidf_weights(data.train.unionByName(data.test), "row_id", "text", data.vocabulary)
     labels = data.train.unionByName(data.test).select("row_id", "EventType", "split")
     rows = materialise(sparse.join(labels, "row_id"), "sparse-rows")
     train = rows.where("split = 'train'")
     dense, root = md.kernel_root(md.landmarks(train, "row_id", 100), data.vocabulary.count(), 0.1)
     features = materialise(md.kernel_features(rows, dense, root), "kernel-rows")
-    model = md.train_kernel_svm(features.where("split = 'train'"), max_iter=30)
+    model = md.train_kernel_svm(features.where("split = 'train'"))
     return md.report(model, features.where("split = 'validation'"))
 
 
 @query("model_random_forest_report")
 def model_random_forest_report(spark, sf):
-    data = prepared(spark, sf, 100)
-    return md.report(md.train_random_forest(data.train, trees=20), data.test)
+    data = prepared(spark, sf, ft.MAX_FEATURES)
+    return md.report(md.train_random_forest(data.train), data.test)
 
 
 @query("model_gbt_report")
