@@ -9,7 +9,9 @@ chunk, and a bin moves as one row, whatever is in it.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,8 +28,9 @@ LIMIT = 4096
 END_ID = 1
 CHUNK = 8192
 FULL = 0.98
+BIG_ENDIAN = sys.byteorder == "big"
 #: Words whose ids a worker remembers; beyond that it starts afresh.
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 20
 
 
 class WordEncoder:
@@ -46,7 +49,7 @@ class WordEncoder:
 
     def _learn(self, items: list[str]) -> None:
         for item, e in zip(items, self.tokenizer.encode_batch_fast(items, add_special_tokens=False)):
-            self.known[item] = np.array(e.ids, dtype="<u4").tobytes()
+            self.known[item] = np.array(e.ids, dtype="<u4").tobytes() if BIG_ENDIAN else array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         try:
