@@ -5,8 +5,10 @@ ordered by how many sets hold them, rarest first. A set that may miss at most ``
 in a partner files itself under the first ``m + 1`` of them: rare ones (in at most ``RARE`` sets)
 each alone, frequent ones in pairs. Frequent shingles fall into classes by hash, and a pair is made
 inside a class only; every class in use costs one shingle more of prefix. Whoever overlaps enough
-shares a file. Files are compared against one member first; members found to belong together need
-no comparison among each other, and what is left between different classes is compared in full.
+shares a file. Files are compared against their most central member first; members found to belong together need no
+comparison among each other, and what is left between different classes is compared in full. A
+set's shingles that no other candidate holds bound every overlap, so most edited copies that miss
+the threshold are never paired.
 
 Large sets store only the shingles of a fixed slice of the hash range (and all if that is too few),
 since prefixes are short. Counting, filing and ordering use the stored shingles of all sets alike.
@@ -18,17 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from periodlens.llm import wordhash as wh
 from periodlens.llm.components import components
-from periodlens.llm.tables import saved
+from periodlens.llm.tables import discard, saved
 
 RARE = 16
 WHOLE = 256
-PIVOTS = 4
 
 
 def _shingles(w: wh.Words, width: int) -> Iterator[np.ndarray]:
@@ -174,8 +175,10 @@ def _verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").where(den * both >= num * union).select("a", "b")
 
 
-def _sizes_fit(a: str, b: str, num: int, den: int):
-    return (F.least(a, b) * den >= F.greatest(a, b) * num)
+def _may_link(n: str, s: str, m: str, t: str, num: int, den: int) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles can link, of which ``s`` and ``t`` can be shared at all."""
+    most = F.least(s, t)
+    return most * den >= (F.col(n) + F.col(m) - most) * num
 
 
 def overlap_classes(
@@ -194,57 +197,84 @@ def overlap_classes(
     print_ = ["n", "f1", "f2"]
     filled = sets.where("id is not null and n > 0")
     reps = saved(filled.groupBy(*print_).agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens")), "jac-reps")
-    classes = reps.select(*print_, "rep")
+    prints = saved(sets.select("id", *print_), "jac-prints")
+    classes = saved(reps.select(*print_, "rep"), "jac-reps")
+    discard(sets)
     tokens = reps.select(F.col("rep").alias("id"), F.explode("tokens").alias("token"))
     several = saved(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jac-frequency")
-    known = (
+    known = saved(
         tokens.join(several, "token")
         .groupBy("id")
         .agg(F.collect_set(F.struct("token", "df")).alias("known"))
-        .select(F.col("id").alias("_id"), "known")
+        .select(F.col("id").alias("_id"), "known"),
+        "jac-known",
     )
     # Only a set with a shared shingle can have a partner.
     with_known = reps.where(F.size("tokens") > 0).select(F.col("rep").alias("id"), "n", "tokens").join(
-        saved(known, "jac-known"), F.col("id") == F.col("_id")
+        known, F.col("id") == F.col("_id")
     )
     filed = saved(_filed(with_known, plan), "jac-filed")
-    pivot = F.struct(F.xxhash64("id", F.pmod("file", F.lit(PIVOTS))).alias("h"), "id", "n")
-    shared = filed.groupBy("file").agg(F.min(pivot).alias("p"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    for table in (reps, several, known):
+        discard(table)
+    shared = filed.groupBy("file").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("file")
+    sharing = saved(filed.join(shared, "file", "left_semi"), "jac-sharing")
+    discard(filed)
+    active = saved(sharing.select("id").distinct(), "jac-active")
+    whole = saved(_sets(plain.join(active, "id", "left_semi"), width, None).select("id", "tokens"), "jac-whole")
+    # Shingles that no other of these sets holds can't be shared: they bound every overlap.
+    lone = (
+        whole.select("id", F.explode("tokens").alias("token"))
+        .groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+        .groupBy("id").agg(F.count("*").alias("lone"))
+        .select(F.col("id").alias("_id"), "lone")
+    )
+    bounded = saved(
+        sharing.join(saved(lone, "jac-lone"), F.col("id") == F.col("_id"), "left")
+        .withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0)))
+        .where(F.col("s") * den >= F.col("n") * num)
+        .select("file", "id", "n", "s"),
+        "jac-bounded",
+    )
+    discard(sharing)
+    # Every file is compared with its most central member, to which edited copies are nearest.
+    pivot = F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("apart"), F.xxhash64("id").alias("h"), "id", "n", "s")
+    pivots = bounded.groupBy("file").agg(F.min(pivot).alias("p"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     stars = saved(
-        filed.join(shared.select("file", F.col("p.id").alias("pivot"), F.col("p.n").alias("m")), "file")
-        .where((F.col("id") != F.col("pivot")) & _sizes_fit("n", "m", num, den))
+        bounded.join(pivots.select("file", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"), F.col("p.s").alias("t")), "file")
+        .where((F.col("id") != F.col("pivot")) & _may_link("n", "s", "m", "t", num, den))
         .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         .distinct(),
         "jac-stars",
     )
-    sharing = saved(filed.join(shared.select("file"), "file", "left_semi"), "jac-sharing")
-    active = saved(sharing.select("id").distinct(), "jac-active")
-    whole = saved(_sets(plain.join(active, "id", "left_semi"), width, None).select("id", "tokens"), "jac-whole")
     links = saved(_verified(stars, whole, num, den), "jac-links")
     first = components(links)
     placed = saved(
-        sharing.join(first, F.col("id") == F.col("node"), "left")
-        .select("file", "id", "n", F.coalesce("component", "id").alias("comp")),
+        bounded.join(first, F.col("id") == F.col("node"), "left")
+        .select("file", "id", "n", "s", F.coalesce("component", "id").alias("comp")),
         "jac-placed",
     )
+    discard(bounded)
     mixed = placed.groupBy("file").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("file")
     open_ = saved(placed.join(mixed, "file", "left_semi"), "jac-open")
-    groups = open_.groupBy("file", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    one = groups.select("file", F.col("comp").alias("ca"), F.col("least").alias("la"), F.col("most").alias("ma"))
-    two = groups.select("file", F.col("comp").alias("cb"), F.col("least").alias("lb"), F.col("most").alias("mb"))
-    meet = one.join(two, "file").where("ca < cb").where(
-        (F.col("ma") * den >= F.col("lb") * num) & (F.col("mb") * den >= F.col("la") * num)
-    )
-    x = open_.select("file", F.col("comp").alias("ca"), F.col("id").alias("x"), F.col("n").alias("nx"))
-    y = open_.select("file", F.col("comp").alias("cb"), F.col("id").alias("y"), F.col("n").alias("ny"))
+    discard(placed)
+    groups = open_.groupBy("file", "comp").agg(F.min("n").alias("n"), F.max("s").alias("s"))
+    one = groups.select("file", F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    two = groups.select("file", F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    meet = one.join(
+        two, (one["file"] == two["file"]) & (F.col("ca") < F.col("cb")) & _may_link("na", "sa", "nb", "sb", num, den)
+    ).select(one["file"], "ca", "cb")
+    x = open_.select("file", F.col("comp").alias("ca"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"))
+    y = open_.select("file", F.col("comp").alias("cb"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"))
     rest = (
-        meet.select("file", "ca", "cb").join(x, ["file", "ca"]).join(y, ["file", "cb"])
-        .where(_sizes_fit("nx", "ny", num, den))
+        meet.join(x, ["file", "ca"]).join(y, ["file", "cb"])
+        .where(_may_link("nx", "sx", "ny", "sy", num, den))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
     untried = saved(rest.join(stars, ["a", "b"], "left_anti"), "jac-rest")
     more = saved(_verified(untried, whole, num, den), "jac-links")
+    for table in (whole, stars, open_, untried):
+        discard(table)
     final = components(links.unionByName(more))
     named = saved(
         classes.join(final, F.col("rep") == F.col("node"), "left")
@@ -253,8 +283,7 @@ def overlap_classes(
     )
     same = [F.col(c) == F.col(f"_{c}") for c in print_]
     return (
-        sets.select("id", *print_)
-        .join(named, same[0] & same[1] & same[2] & F.col("id").isNotNull(), "left")
+        prints.join(named, same[0] & same[1] & same[2] & F.col("id").isNotNull(), "left")
         .select(
             F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
         )
