@@ -15,11 +15,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from periodlens.llm.tables import saved
+from periodlens.llm.tables import discard, saved
 
 ORDER = 4
 CLASS_BITS = 12
@@ -226,9 +227,11 @@ def train(rows: DataFrame, most_runs: int = MOST_RUNS) -> Model:
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     lower, grams, contexts = None, {}, {}
+    done = []
     for order in range(1, ORDER + 1):
         own, weights = _level(counts[order])
         weights = saved(weights, "lang-weights")
+        done.append(weights)
         if lower is None:
             below = own.withColumn("low", F.lit(2.0**-CLASS_BITS))
         else:
@@ -243,24 +246,27 @@ def train(rows: DataFrame, most_runs: int = MOST_RUNS) -> Model:
         )
         for lang, pair in _arrays(_frequent(lower, most_runs), "g", "p").items():
             grams[lang, order] = pair
+        done.append(lower)
         for lang, pair in _arrays(_frequent(weights, most_runs), "h", "weight").items():
             contexts[lang, order] = pair
+    for table in [*done, *counts.values()]:
+        discard(table)
     return Model(languages, grams, contexts)
 
 
-def _scored(docs: DataFrame, text: str, label: Column, model: Model) -> DataFrame:
-    """(row, label, pred, score, ce, n) of every row; ``row`` holds the columns of ``docs``."""
-    plain = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), label.alias("label"))
+def _scored(docs: DataFrame, text: str, label: Column, model: Broadcast, carry: list[str]) -> DataFrame:
+    """(row, label, pred, score, ce, n) of every row; ``row`` holds the columns ``carry``."""
+    row = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    plain = docs.select(row.alias("row"), F.col(text).alias("text"), label.alias("label"))
     schema = T.StructType(
         [
             plain.schema["row"], T.StructField("label", T.StringType()), T.StructField("pred", T.StringType()),
             T.StructField("score", T.DoubleType()), T.StructField("ce", T.DoubleType()), T.StructField("n", T.LongType()),
         ]
     )
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see train
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shipped.value
+        fitted = model.value
         names = np.array([*fitted.languages, UNKNOWN], object)
         for batch in batches:
             for start, texts in _blocks(batch.column("text")):
@@ -294,10 +300,13 @@ def held_out(id_col: str) -> Column:
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
-    most_runs: int = MOST_RUNS, reject_at: float = REJECT_AT,
+    most_runs: int = MOST_RUNS, reject_at: float = REJECT_AT, carry: list[str] | None = None,
 ) -> DataFrame:
     """(row, lang_pred, score, cross_entropy, rejected) of every row; ``row`` holds its columns.
 
+    ``carry`` names the columns that ``row`` holds, all by default. Given names, the scores are
+    kept in a table; otherwise texts are scored a second time rather than written once more.
+
     Learned from the rows that are not held out and have a text and a language; language and id
     are never inputs of a prediction. Texts that are null or without a letter are ``und``, score 0,
     and rejected. Other texts are rejected when their cross-entropy lies ``reject_at`` deviations
@@ -306,14 +315,20 @@ def identify(
     """
     learn = ~held_out(id_col) & F.col(text).isNotNull() & F.col(lang).isNotNull()
     model = train(docs.where(learn).select(F.col(lang).alias("lang"), F.col(text).alias("text")), most_runs)
-    scored = saved(_scored(docs, text, F.when(learn, F.col(lang)), model), "lang-scored")
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see train
+    label = F.when(learn, F.col(lang))
+    kept = saved(_scored(docs, text, label, shipped, carry or []), "lang-scored")
     fits = (
-        scored.where((F.col("label") == F.col("pred")) & (F.col("n") >= 50))
+        kept.where((F.col("label") == F.col("pred")) & (F.col("n") >= 50))
         .groupBy("pred")
         .agg(F.avg("ce").alias("mean"), F.coalesce(F.stddev_pop("ce"), F.lit(0.0)).alias("spread"))
     )
     allowed = (F.col("spread") + 0.02) * F.sqrt(1 + 200 / F.col("n")) * reject_at
-    return scored.join(saved(fits, "lang-fits"), "pred", "left").select(
+    fits = saved(fits, "lang-fits")
+    if carry is None:
+        discard(kept)
+        kept = _scored(docs, text, label, shipped, docs.columns)
+    return kept.join(fits, "pred", "left").select(
         "row",
         F.col("pred").alias("lang_pred"),
         "score",

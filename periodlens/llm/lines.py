@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodlens.llm.tables import SPACE_CHARS, saved
+from periodlens.llm.tables import SPACE_CHARS, discard, saved
 
 WIDTH = 3
 
@@ -51,7 +51,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
         .drop("n")
     )
     later = windows.join(firsts, keys).where(~place.eqNullSafe(F.col("first")))
-    covered = (
+    covered = saved(
         later.groupBy("id", "mark")
         .agg(F.collect_set("at").alias("ats"))
         .select(
@@ -60,8 +60,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
             F.array_distinct(
                 F.flatten(F.transform("ats", lambda a: F.array(*[a + j for j in range(width)])))
             ).alias("_covered"),
-        )
+        ),
+        "line-covered",
     )
+    discard(windows)
     joined = docs.select(*cols, mark.alias("_m")).join(
         covered, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left"
     )

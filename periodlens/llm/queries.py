@@ -23,7 +23,7 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its language, learned from two thirds of them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = language.identify(docs)
+    found = language.identify(docs, carry=["doc_id"])
     return found.select(
         "row.doc_id", language.held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
     )
