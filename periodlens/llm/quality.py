@@ -102,7 +102,7 @@ def features(docs: DataFrame, bits: int = BITS) -> DataFrame:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots, shares = [], []
-            for _, _, data, rows in wh.blocks(batch.column("text")):
+            for _, _, data, rows in wh.blocks(batch.column("text"), wh.BLOCK // 4):
                 w = wh.words(data, rows)
                 words, runs, _ = _slots(w, bits)
                 lo, hi = _run_ranges(w, len(runs))
@@ -175,7 +175,7 @@ def judge(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shipped.value
         for batch in batches:
-            for lo, hi, data, rows in wh.blocks(batch.column(1)):
+            for lo, hi, data, rows in wh.blocks(batch.column(1), wh.BLOCK // 2):
                 w = wh.words(data, rows)
                 counts = rule_counts(w)
                 n = counts["n_words"]
