@@ -148,7 +148,9 @@ def remove_repeats(
     known = plain.where("id is not null and text is not null")
     # Exact copies of a smaller id go whole; only the first of them enters the graph.
     same = known.select("id", "mark", F.xxhash64(F.lit(1), "text").alias("mark2"))
-    firsts = same.groupBy("mark", "mark2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    firsts = saved(
+        same.groupBy("mark", "mark2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "span-firsts"
+    )
     copies = saved(
         same.join(firsts, ["mark", "mark2"]).where("id > lo").select("id", "mark").distinct(), "span-copies"
     )
@@ -162,6 +164,7 @@ def remove_repeats(
     discard(probes)
     rows = known.join(wanted, "id").join(copies, ["id", "mark"], "left_anti")
     edges = saved(_edges(rows, width, probe), "span-edges")
+    discard(wanted)
     paths = saved(repeated_paths(edges), "span-paths")
     span = lambda start, end: F.struct(start.cast("long").alias("from"), end.cast("long").alias("to")).alias("s")
     found = (
