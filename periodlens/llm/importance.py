@@ -107,7 +107,8 @@ def resample(
     judged = target.select(F.col(id_col).alias("id"), F.col("good").cast("boolean").alias("wanted")).where("id is not null")
     judged = saved(judged.groupBy("id").agg(F.coalesce(F.max("wanted"), F.lit(False)).alias("wanted")), "sample-judged")
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = plain.join(judged.where("wanted"), "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    # The judged ids have no size bound, so they are merged at every size, never broadcast.
+    marked = plain.join(judged.where("wanted").hint("merge"), "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
     ratios = log_ratios(slot_counts(marked, bits), bits)
     if share is None:
         good, total = judged.agg(F.count_if("wanted"), F.count("*")).first()
