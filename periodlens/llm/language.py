@@ -3,12 +3,14 @@
 A text becomes lower-case letters with single spaces between words. Runs of four characters are
 counted per language over all training texts; lower orders count how many different characters
 precede a run. The models are kept as sorted arrays of run keys with log probabilities and back-off
-weights. A text gets the language of the lowest cross-entropy per character. Texts that fit their
-best language far worse than its training texts do are marked as rejected.
+weights, all of them, in parts that are shipped and loaded one by one. A text gets the language of
+the lowest cross-entropy per character. Texts that fit their best language far worse than its
+training texts do are marked as rejected.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,11 +26,14 @@ from periodlens.llm.tables import discard, saved
 
 ORDER = 4
 CLASS_BITS = 12
-#: Runs kept per language and order, the most frequent ones; the others back off.
-MOST_RUNS = 1 << 20
-MOST_LANGUAGES = 200
+#: Entries of a part of the model: what the driver gathers at a time. No entry is left out.
+PART = 1 << 20
+#: Entries of the parts that a worker keeps loaded.
+LOADED = 1 << 23
 REJECT_AT = 8.0
 BLOCK_CHARS = 1 << 19
+#: Characters that are looked up together, so that parts are loaded once for many texts.
+TOGETHER = 1 << 22
 #: Distinct runs that a task counts before it hands them on.
 TALLY = 1 << 21
 EDGE = 1
@@ -138,18 +143,68 @@ def count_runs(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(count, schema).groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
+_loaded: OrderedDict[int, tuple[Broadcast, int]] = OrderedDict()
+
+
+def _load(shipped: Broadcast, size: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The part ``shipped`` of ``size`` entries; parts not used for longest make room for it."""
+    _loaded[id(shipped)] = (shipped, size)
+    _loaded.move_to_end(id(shipped))
+    while len(_loaded) > 1 and sum(n for _, n in _loaded.values()) > LOADED:
+        old, _ = _loaded.popitem(last=False)[1]
+        if hasattr(old, "_path"):  # else it can't be read again
+            old.__dict__.pop("_value", None)
+    return shipped.value
+
+
 class Model:
-    """Sorted arrays per language and order: run keys with log2 p, context keys with log2 weight."""
+    """Sorted arrays per language and order: run keys with log2 p, context keys with log2 weight.
 
-    def __init__(self, languages: list[str], grams: dict, contexts: dict):
-        self.languages, self.grams, self.contexts = languages, grams, contexts
+    ``tables`` has the parts of each table (language, order, whether of contexts), dealt by the
+    remainder of the key, as numbers of ``shipped``; ``sizes`` has the entries of what is shipped.
+    """
 
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
+    def __init__(self, languages: list[str]):
+        self.languages = languages
+        self.tables: dict[tuple[str, int, bool], list[int]] = {}
+        self.shipped: list[Broadcast] = []
+        self.sizes: list[int] = []
+
+    def ship(self, table: DataFrame, order: int, contexts: bool, key: str, value: str, part: int) -> None:
+        """Broadcast ``table``; a part has about ``part`` entries of one or of several languages."""
+        parts: list[tuple[list[str], int, int]] = []
+        small, room = [], 0
+        for lang, n in sorted(tuple(r) for r in table.groupBy("lang").count().collect()):
+            if n > part:
+                of = -(-n // part) | 1  # odd, so that every bit of a key counts
+                parts += [([lang], of, i) for i in range(of)]
+                continue
+            if n > room:
+                small, room = [], part
+                parts.append((small, 1, 0))
+            small.append(lang)
+            room -= n
+        for langs, of, i in parts:
+            arrays = _arrays(table.where(F.col("lang").isin(langs) & (F.col(key) % of == i)), key, value)
+            for lang in langs:
+                self.tables.setdefault((lang, order, contexts), []).append(len(self.shipped))
+            self.shipped.append(table.sparkSession.sparkContext.broadcast(arrays))
+            self.sizes.append(sum(len(k) for k, _ in arrays.values()))
+
+    def _find(self, lang: str, order: int, contexts: bool, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value or 0, whether there is one) of every key in ``wanted``."""
+        out, hit = np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+        numbers = self.tables.get((lang, order, contexts), [])
+        part = wanted % max(1, len(numbers))
+        for i, number in enumerate(numbers):
+            to = np.flatnonzero(part == i)
+            if not len(to) or lang not in (arrays := _load(self.shipped[number], self.sizes[number])):
+                continue
+            keys, values = arrays[lang]
+            at = np.minimum(np.searchsorted(keys, wanted[to]), len(keys) - 1)
+            hit[to] = keys[at] == wanted[to]
+            out[to] = np.where(hit[to], values[at], 0.0)
+        return out, hit
 
     def log2(self, lang: str, keys: np.ndarray) -> np.ndarray:
         """log2 p of the last character of each run given the others."""
@@ -157,15 +212,12 @@ class Model:
         todo = np.arange(len(keys))
         for order in range(ORDER, 0, -1):
             own = keys[todo] & ((1 << (CLASS_BITS * order)) - 1)
-            have, value = self.grams[lang, order]
-            at, hit = self._find(have, own)
-            out[todo[hit]] = weight[todo[hit]] + value[at[hit]]
+            value, hit = self._find(lang, order, False, own)
+            out[todo[hit]] = weight[todo[hit]] + value[hit]
             todo, own = todo[~hit], own[~hit]
             if not len(todo):
                 return out
-            have, value = self.contexts[lang, order]
-            at, hit = self._find(have, own >> CLASS_BITS)
-            weight[todo[hit]] += value[at[hit]]
+            weight[todo] += self._find(lang, order, True, own >> CLASS_BITS)[0]
         out[todo] = weight[todo] - CLASS_BITS  # below single characters every class is as likely
         return out
 
@@ -186,20 +238,6 @@ def _level(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, contexts.select("lang", "h", F.col("total").alias("c"), weight.alias("weight"))
 
 
-def _frequent(table: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows of each language: those above the least count that allows it."""
-    falling = Window.partitionBy("lang").orderBy(F.col("c").desc())
-    cut = (
-        table.groupBy("lang", "c")
-        .agg(F.count("*").alias("n"))
-        .withColumn("upto", F.sum("n").over(falling))
-        .where(F.col("upto") <= most)
-        .groupBy("lang")
-        .agg(F.min("c").alias("cut"))
-    )
-    return table.join(cut, "lang").where(F.col("c") >= F.col("cut"))
-
-
 def _arrays(table: DataFrame, key: str, value: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     got = table.select("lang", key, value).toArrow()
     langs, keys = np.array(got.column("lang").to_pylist(), object), got.column(key).to_numpy()
@@ -212,22 +250,18 @@ def _arrays(table: DataFrame, key: str, value: str) -> dict[str, tuple[np.ndarra
     return out
 
 
-def train(rows: DataFrame, most_runs: int = MOST_RUNS) -> Model:
-    """Models of every language of (lang, text).
+def train(rows: DataFrame, part: int = PART) -> Model:
+    """Models of every language of (lang, text), with every run and context.
 
-    Counts cover all texts. What reaches the driver and the executors is bounded: at most
-    ``most_runs`` runs and contexts per language and order, and ``MOST_LANGUAGES`` languages.
+    The driver gathers them in parts of about ``part`` entries, and only names of languages whole.
     """
     counts = {ORDER: saved(count_runs(rows), "lang-runs")}
     for order in range(ORDER - 1, 0, -1):
         mask = (1 << (CLASS_BITS * order)) - 1
         shorter = counts[order + 1].groupBy("lang", F.col("g").bitwiseAND(F.lit(mask)).alias("g"))
         counts[order] = saved(shorter.agg(F.count("*").alias("c")), "lang-runs")
-    languages = sorted(r[0] for r in counts[1].select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    lower, grams, contexts = None, {}, {}
-    done = []
+    model = Model(sorted(r[0] for r in counts[1].select("lang").distinct().collect()))
+    lower, done = None, []
     for order in range(1, ORDER + 1):
         own, weights = _level(counts[order])
         weights = saved(weights, "lang-weights")
@@ -244,17 +278,15 @@ def train(rows: DataFrame, most_runs: int = MOST_RUNS) -> Model:
             ),
             "lang-model",
         )
-        for lang, pair in _arrays(_frequent(lower, most_runs), "g", "p").items():
-            grams[lang, order] = pair
         done.append(lower)
-        for lang, pair in _arrays(_frequent(weights, most_runs), "h", "weight").items():
-            contexts[lang, order] = pair
+        model.ship(lower, order, False, "g", "p", part)
+        model.ship(weights, order, True, "h", "weight", part)
     for table in [*done, *counts.values()]:
         discard(table)
-    return Model(languages, grams, contexts)
+    return model
 
 
-def _scored(docs: DataFrame, text: str, label: Column, model: Broadcast, carry: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, text: str, label: Column, model: Model, carry: list[str]) -> DataFrame:
     """(row, label, pred, score, ce, n) of every row; ``row`` holds the columns ``carry``."""
     row = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
     plain = docs.select(row.alias("row"), F.col(text).alias("text"), label.alias("label"))
@@ -265,30 +297,45 @@ def _scored(docs: DataFrame, text: str, label: Column, model: Broadcast, carry:
         ]
     )
 
+    names = np.array([*model.languages, UNKNOWN], object)
+
+    def judged(waiting: list[tuple]) -> Iterator[pa.RecordBatch]:
+        which, distinct = pd.factorize(np.concatenate([own for *_, own in waiting]))
+        which = np.split(which, np.cumsum([len(own) for *_, own in waiting])[:-1])
+        runs_of = [np.bincount(row, minlength=len(letters)) for _, _, letters, row, _, _ in waiting]
+        all_ce = [np.zeros((len(n), len(model.languages))) for n in runs_of]
+        for k, lang in enumerate(model.languages):
+            logs = model.log2(lang, distinct)
+            for ce, n, to, (_, _, _, row, code, _) in zip(all_ce, runs_of, which, waiting):
+                ce[:, k] = -np.bincount(row, logs[to][code], len(n)) / np.maximum(1, n)
+        for ce, n, (carried, labels, letters, *_) in zip(all_ce, runs_of, waiting):
+            known = (letters > 0) & bool(model.languages)
+            best = ce.argmin(axis=1) if model.languages else np.zeros(len(n), np.int64)
+            least = ce.min(axis=1) if model.languages else np.zeros(len(n))
+            # The share of the best language if up to 20 characters spoke for themselves.
+            share = 1 / np.maximum(1, np.exp2((least[:, None] - ce) * np.minimum(n, 20)[:, None]).sum(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    carried, labels, pa.array(names[np.where(known, best, -1)], pa.string()),
+                    pa.array(np.where(known, share, 0.0)), pa.array(least), pa.array(n),
+                ],
+                names=schema.names,
+            )
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
-        names = np.array([*fitted.languages, UNKNOWN], object)
+        waiting, size = [], 0
         for batch in batches:
             for start, texts in _blocks(batch.column("text")):
                 keys, row, letters = runs(texts)
-                n = np.bincount(row, minlength=len(texts))
                 code, distinct = pd.factorize(keys)
-                ce = np.zeros((len(texts), len(fitted.languages)))
-                for k, lang in enumerate(fitted.languages):
-                    ce[:, k] = -np.bincount(row, fitted.log2(lang, distinct)[code], len(texts)) / np.maximum(1, n)
-                known = (letters > 0) & bool(fitted.languages)
-                best = ce.argmin(axis=1) if fitted.languages else np.zeros(len(texts), np.int64)
-                least = ce.min(axis=1) if fitted.languages else np.zeros(len(texts))
-                # The share of the best language if up to 20 characters spoke for themselves.
-                share = 1 / np.maximum(1, np.exp2((least[:, None] - ce) * np.minimum(n, 20)[:, None]).sum(axis=1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("row").slice(start, len(texts)), batch.column("label").slice(start, len(texts)),
-                        pa.array(names[np.where(known, best, -1)], pa.string()), pa.array(np.where(known, share, 0.0)),
-                        pa.array(least), pa.array(n),
-                    ],
-                    names=schema.names,
-                )
+                here = [batch.column(c).slice(start, len(texts)) for c in ("row", "label")]
+                waiting.append((*here, letters, row.astype(np.int32), code.astype(np.int32), distinct))
+                size += len(keys)
+                if size >= TOGETHER:
+                    yield from judged(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield from judged(waiting)
 
     return plain.mapInArrow(score, schema)
 
@@ -300,7 +347,7 @@ def held_out(id_col: str) -> Column:
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
-    most_runs: int = MOST_RUNS, reject_at: float = REJECT_AT, carry: list[str] | None = None,
+    part: int = PART, reject_at: float = REJECT_AT, carry: list[str] | None = None,
 ) -> DataFrame:
     """(row, lang_pred, score, cross_entropy, rejected) of every row; ``row`` holds its columns.
 
@@ -314,10 +361,9 @@ def identify(
     Repeated rows are judged one by one; an empty table gives an empty result.
     """
     learn = ~held_out(id_col) & F.col(text).isNotNull() & F.col(lang).isNotNull()
-    model = train(docs.where(learn).select(F.col(lang).alias("lang"), F.col(text).alias("text")), most_runs)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see train
+    model = train(docs.where(learn).select(F.col(lang).alias("lang"), F.col(text).alias("text")), part)
     label = F.when(learn, F.col(lang))
-    kept = saved(_scored(docs, text, label, shipped, carry or []), "lang-scored")
+    kept = saved(_scored(docs, text, label, model, carry or []), "lang-scored")
     fits = (
         kept.where((F.col("label") == F.col("pred")) & (F.col("n") >= 50))
         .groupBy("pred")
@@ -327,7 +373,7 @@ def identify(
     fits = saved(fits, "lang-fits")
     if carry is None:
         discard(kept)
-        kept = _scored(docs, text, label, shipped, docs.columns)
+        kept = _scored(docs, text, label, model, docs.columns)
     return kept.join(fits, "pred", "left").select(
         "row",
         F.col("pred").alias("lang_pred"),

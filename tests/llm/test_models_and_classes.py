@@ -187,6 +187,35 @@ def test_language_model_is_kneser_ney(spark):
     assert np.allclose(got, [math.log2(p(int(k), language.ORDER)) for k in keys], atol=1e-4)
 
 
+def test_language_model_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(language, "LOADED", 20)
+    texts = ["abra cadabra", "a bra cad", "dab arc", "cab cab cab bard"]
+    rows = [("x", t) for t in texts] + [("y", "dab"), ("z", "xyz")]
+    model = language.train(spark.createDataFrame(rows, "lang string, text string"), part=7)
+    assert len(model.tables["x", 4, False]) > 1 and max(model.sizes) < 20
+    keys = np.unique(language.runs(["abra dab zebra card a xyz", *texts])[0])
+    for lang, of in (("x", texts), ("y", ["dab"]), ("z", ["xyz"])):
+        p = brute_kneser_ney(of, language.ORDER)
+        assert np.allclose(model.log2(lang, keys), [math.log2(p(int(k), language.ORDER)) for k in keys], atol=1e-4)
+
+
+def test_language_model_keeps_every_run(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 4000, 6000))) for _ in range(200)]
+    model = language.train(spark.createDataFrame([("zh", t) for t in texts], "lang string, text string"))
+    want = len(np.unique(language.runs(texts)[0]))
+    assert want > 1 << 20 and sum(model.sizes[i] for i in model.tables["zh", 4, False]) == want
+
+
+def test_many_languages(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(language, "TOGETHER", 50)
+    docs = docs_of([(3 * i + j, chr(0x4E00 + 40 * i) * 9, f"l{i:03}", None) for i in range(230) for j in range(3)])
+    got = language.identify(docs, part=100).collect()
+    learned = {r["doc_id"] // 3 for r in docs.where(~language.held_out("doc_id")).collect()}
+    assert len(learned) > 200 and len(got) == 690
+    assert all(r["lang_pred"] == f"l{r['row']['doc_id'] // 3:03}" for r in got if r["row"]["doc_id"] // 3 in learned)
+
+
 # Importance
 
 
