@@ -32,8 +32,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence; the ids follow from the text."""
-    return packing.pack(packing.tokenise(docs, TOKENIZER, ids=False))
+    """Every piece of every document with its ids and its place in a sequence."""
+    return packing.pack(packing.tokenise(docs, TOKENIZER))
 
 
 STAGES = [

@@ -175,12 +175,24 @@ def _packed(items: DataFrame, length: str, chunks: int, capacity: int, level: in
     return items.withColumn("_cell", cell).groupBy("_cell").applyInArrow(fit, schema)
 
 
-def pack(pieces: DataFrame, length: str = "length", capacity: int = LIMIT, chunk: int = CHUNK, full: float = FULL) -> DataFrame:
+def pack(
+    pieces: DataFrame, length: str = "length", capacity: int = LIMIT, chunk: int = CHUNK, full: float = FULL,
+    late: str = "ids",
+) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: bins of at most ``capacity``, without gaps.
 
-    Lengths are from 1 to ``capacity``. Rows that repeat are packed one by one.
+    Lengths are from 1 to ``capacity``. Rows that repeat are packed one by one. The column ``late``,
+    if there is one, stays in its table until the places are final, and crosses one shuffle then.
     """
-    pieces = saved(pieces, "pack-pieces")
+    if late not in pieces.columns:
+        return _places(saved(pieces, "pack-pieces"), length, capacity, chunk, full)
+    whole = saved(pieces.withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
+    places = saved(_places(whole.drop(late), length, capacity, chunk, full), "pack-places")
+    return whole.select("_row", late).join(places, "_row").select(*pieces.columns, "sequence_id", "offset")
+
+
+def _places(pieces: DataFrame, length: str, capacity: int, chunk: int, full: float) -> DataFrame:
+    """``pieces``, a table, with ``sequence_id`` and ``offset``."""
     chunks = max(1, -(-pieces.count() // chunk))
     placed = saved(_packed(pieces, length, chunks, capacity, 0, ("_bin", "_at", "_fill")), "pack-placed")
     open_ = placed.where((F.col("_at") == 0) & (F.col("_fill") < full * capacity)).select(

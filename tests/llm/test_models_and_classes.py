@@ -8,9 +8,10 @@ from itertools import combinations
 import numpy as np
 import pytest
 from conftest_llm import EDGE_ROWS, SF, read_rows, word_list
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from periodlens.llm import importance, jaccard, language, lines, mixing
+from periodlens.llm import importance, jaccard, language, lines, mixing, packing
 from periodlens.llm.components import components
 
 
@@ -273,3 +274,33 @@ def test_pipeline_stages(spark, real, docs_of):
         now = spark.createDataFrame(rows, out.schema)
     assert all(sizes)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_packs_ids(spark, docs_of):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "d e"), (2, None), (3, "word " * 9000), (4, "A, b.")]
+    plain = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    want = Counter(tuple(plain.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
+    got = corpus_pipeline.packing_stage(spark, docs_of(rows), SF).collect()
+    sequences = defaultdict(dict)
+    for r in got:
+        assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        assert r["offset"] not in sequences[r["sequence_id"]]
+        sequences[r["sequence_id"]][r["offset"]] = r["ids"]
+    for parts in sequences.values():
+        at = 0
+        for offset, ids in sorted(parts.items()):
+            assert offset == at
+            at += len(ids)
+        assert at <= 4096
+    long = sorted((r for r in got if r["doc_id"] == 3), key=lambda r: r["piece"])
+    found = Counter(tuple(r["ids"][:-1]) for r in got if r["doc_id"] != 3)
+    found[tuple([i for r in long for i in r["ids"]][:-1])] += 1
+    assert len(long) > 1 and found == want
+
+
+def test_late_column_stays_with_its_row(spark):
+    pieces = spark.range(3000, numPartitions=7).selectExpr("1 doc_id", "id % 90 + 1 length", "array(cast(id as int)) ids")
+    got = packing.pack(pieces, capacity=100, chunk=64).collect()
+    assert sorted(r["ids"][0] for r in got) == list(range(3000))
+    assert all(r["length"] == r["ids"][0] % 90 + 1 for r in got)
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 3000
