@@ -1,18 +1,22 @@
 """Model training and reports on all rows.
 
-Linear, kernel and forest learners run with their full settings. Boosting rounds run one after the
-other as Spark jobs, so the boosted learners use fewer rounds and a smaller vocabulary here.
+All learners run with their full settings. Boosting rounds run one after the other as Spark jobs,
+so the boosted learners take long.
 """
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from periodlens.catalog.registry import STOPWORDS, query
 from periodlens.operators import evaluate as ev
 from periodlens.operators import features as ft
 from periodlens.operators import models as md
+from periodlens.operators import neighbours as nb
 from periodlens.operators import periods as pe
+from periodlens.operators import rows as rw
 from periodlens.plans import classical, exploration
-from periodlens.session import materialise
+from periodlens.session import materialise, new_path
+from periodlens.sources import io
 from periodlens.sources import testtables as tt
 
 
@@ -26,17 +30,22 @@ def model_logreg_report(spark, sf):
     return md.report(md.train_logreg(data.train), data.test)
 
 
-@query("model_kernel_svm_report")
-def model_kernel_svm_report(spark, sf):
-    data = prepared(spark, sf, ft.MAX_FEATURES)
+def kernel_split(data):
+    """Training and test rows with kernel features; a row without terms has a zero vector."""
     sparse = ft.tfidf_weights(data.train.unionByName(data.test), "row_id", "text", data.vocabulary)
-    labels = data.train.unionByName(data.test).select("row_id", "EventType", "split")
-    rows = materialise(sparse.join(labels, "row_id"), "sparse-rows")
+    labels = data.train.unionByName(data.test).select("row_id", "ID", "EventType", "split")
+    none = {c: F.coalesce(c, F.array().cast(sparse.schema[c].dataType)) for c in ("idx", "weight")}
+    rows = materialise(labels.join(sparse, "row_id", "left").withColumns(none), "sparse-rows")
     train = rows.where("split = 'train'")
     dense, root = md.kernel_root(md.landmarks(train, "row_id", 100), data.vocabulary.count(), 0.1)
     features = materialise(md.kernel_features(rows, dense, root), "kernel-rows")
-    model = md.train_kernel_svm(features.where("split = 'train'"))
-    return md.report(model, features.where("split = 'validation'"))
+    return features.where("split = 'train'"), features.where("split = 'validation'")
+
+
+@query("model_kernel_svm_report")
+def model_kernel_svm_report(spark, sf):
+    train, test = kernel_split(prepared(spark, sf, ft.MAX_FEATURES))
+    return md.report(md.train_kernel_svm(train), test)
 
 
 @query("model_random_forest_report")
@@ -47,22 +56,43 @@ def model_random_forest_report(spark, sf):
 
 @query("model_gbt_report")
 def model_gbt_report(spark, sf):
-    data = prepared(spark, sf, 100)
-    return md.report(md.train_gbt(data.train, rounds=5), data.test)
+    data = prepared(spark, sf, ft.MAX_FEATURES)
+    return md.report(md.train_gbt(data.train), data.test)
 
 
 @query("model_boosted_stumps_report")
 def model_boosted_stumps_report(spark, sf):
-    data = prepared(spark, sf, 100)
-    return md.report(md.train_boosted_stumps(data.train, rounds=10), data.test)
+    data = prepared(spark, sf, ft.MAX_FEATURES)
+    return md.report(md.train_boosted_stumps(data.train), data.test)
 
 
 @query("model_apply_all")
 def model_apply_all(spark, sf):
-    data = prepared(spark, sf, 100)
-    models = {"logreg": md.train_logreg(data.train), "stumps": md.train_boosted_stumps(data.train, rounds=3)}
-    done = md.apply_models(models, data.test, ["row_id", "ID"])
-    return done.groupBy("model").agg(F.count("*").alias("n"), F.avg("EventType").alias("share_of_events"))
+    """Six models on the same rows, a folder of prediction files each, and their shares of events."""
+    data, keep = prepared(spark, sf, ft.MAX_FEATURES), ["row_id", "ID"]
+    models = {
+        "logreg": md.train_logreg(data.train), "random_forest": md.train_random_forest(data.train),
+        "gbt": md.train_gbt(data.train), "boosted_stumps": md.train_boosted_stumps(data.train),
+    }
+    train, test = kernel_split(data)
+    near = nb.knn_classify(
+        *[x.select("row_id", "EventType", vector_to_array("features").alias("vec")) for x in (data.train, data.test)],
+        10, "row_id", label="EventType",
+    )
+    near = data.test.select(*keep).join(near, "row_id")
+    done = rw.union_all(
+        [
+            md.apply_models(models, data.test, keep),
+            md.apply_models({"kernel_svm": md.train_kernel_svm(train)}, test, keep),
+            near.select(F.lit("knn").alias("model"), *keep, F.col("predicted").cast("int").alias("EventType")),
+        ]
+    )
+    folder, parts = new_path(spark, "predictions"), []
+    for name in [*models, "kernel_svm", "knn"]:
+        io.write_predictions(done.where(F.col("model") == name), f"{folder}/{name}")
+        written = io.read_predictions(spark, f"{folder}/{name}", prefix="part-")
+        parts.append(written.select(F.lit(name).alias("model"), "EventType"))
+    return rw.union_all(parts).groupBy("model").agg(F.count("*").alias("n"), F.avg("EventType").alias("share_of_events"))
 
 
 def feature_rows(spark, sf):
@@ -94,7 +124,7 @@ def model_ablation(spark, sf):
 
 @query("model_param_search")
 def model_param_search(spark, sf):
-    data = prepared(spark, sf, 100)
+    data = prepared(spark, sf, ft.MAX_FEATURES)
     return md.param_search(data.train, {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]})
 
 
