@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodlens.llm import importance, jaccard, language, lines, mixing, packing, quality, secrets, spans, vectors
+from periodlens.llm import importance, jaccard, language, lines, merkle, mixing, packing, quality, secrets, spans, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its proof, folded from a tampered text where 5 divides its id's checksum."""
+    docs = _table(spark, sf_dir, "documents").select(*merkle.DOCUMENT)
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return merkle.verify_documents(docs, changed).drop("siblings")
+
+
 OP4_SQL = """
 WITH ws AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
@@ -145,7 +152,7 @@ QUERIES = {
     for f in (
         op1_source_mix, op2_secret_scan, op3_vector_dedup, op4_span_dedup, op5_language_id, op6_importance_resampling,
         op7_shingle_join, op8_line_dedup, op9_quality_rules,
-        op10_best_fit_packing,
+        op10_best_fit_packing, op13_merkle_manifest,
     )
 }
 ORACLES = {"op4_span_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL}
