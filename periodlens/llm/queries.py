@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodlens.llm import importance, jaccard, language, lines, merkle, mixing, packing, quality, secrets, spans, vectors
+from periodlens.llm import importance, jaccard, language, lines, merkle, mixing, packing, quality, secrets, spans, vectors, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's four leading whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its proof, folded from a tampered text where 5 divides its id's checksum."""
     docs = _table(spark, sf_dir, "documents").select(*merkle.DOCUMENT)
@@ -152,7 +157,7 @@ QUERIES = {
     for f in (
         op1_source_mix, op2_secret_scan, op3_vector_dedup, op4_span_dedup, op5_language_id, op6_importance_resampling,
         op7_shingle_join, op8_line_dedup, op9_quality_rules,
-        op10_best_fit_packing, op13_merkle_manifest,
+        op10_best_fit_packing, op11_whitening, op13_merkle_manifest,
     )
 }
 ORACLES = {"op4_span_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL}
