@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodlens.llm import importance, jaccard, language, lines, merkle, mixing, packing, quality, secrets, spans, vectors, whitening
+from periodlens.llm import (
+    importance, jaccard, language, lines, merkle, mixing, nearest, packing, quality, secrets, spans, vectors, whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +103,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every vector whose id 100 divides."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(nearest.build(rows), rows.where("vec_id % 100 = 0"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its proof, folded from a tampered text where 5 divides its id's checksum."""
     docs = _table(spark, sf_dir, "documents").select(*merkle.DOCUMENT)
@@ -157,7 +165,7 @@ QUERIES = {
     for f in (
         op1_source_mix, op2_secret_scan, op3_vector_dedup, op4_span_dedup, op5_language_id, op6_importance_resampling,
         op7_shingle_join, op8_line_dedup, op9_quality_rules,
-        op10_best_fit_packing, op11_whitening, op13_merkle_manifest,
+        op10_best_fit_packing, op11_whitening, op12_nearest_neighbours, op13_merkle_manifest,
     )
 }
 ORACLES = {"op4_span_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL}
