@@ -34,6 +34,8 @@ BRANCH = 16
 CALIBRATORS = 400
 LEAST_CALIBRATORS = 50
 BLOCK = 2048
+#: Leaves searched first; what they hold bounds what the others may report.
+FIRST = 16
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -52,10 +54,13 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.sqrt(((step / size) ** 2).sum(axis=1)) * size[:, 0]
 
 
-def _near(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(
+    x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, most: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, distance) of the ``k`` nearest rows of each query, ties by id.
 
-    Products choose candidates with room for their rounding; differences decide.
+    Products choose candidates with room for their rounding; differences decide. Rows farther
+    than a query's ``most`` are left out.
     """
     scale = max(np.abs(x).max(), np.abs(queries).max()) or 1.0
     a, b = queries / scale, x / scale
@@ -64,11 +69,17 @@ def _near(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[
     room = 64 * x.shape[1] * np.finfo(float).eps * (sq.max() + (a * a).sum(axis=1).max())
     take = min(k, len(x))
     limit = np.partition(rough, take - 1, axis=1)[:, take - 1] + 2 * room
+    if most is not None:
+        limit = np.minimum(limit, (most / scale) ** 2 * (1 + 1e-9) - (a * a).sum(axis=1) + 2 * room)
     i, j = np.nonzero(rough <= limit[:, None])
+    if not len(i):
+        return i, j, np.zeros(0)
     d = np.concatenate([distances(queries[i[s : s + 8192]], x[j[s : s + 8192]]) for s in range(0, len(i), 8192)])
     order = np.lexsort((ids[j], d, i))
     i, j, d = i[order], j[order], d[order]
     keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    if most is not None:
+        keep &= d <= most[i]
     return i[keep], j[keep], d[keep]
 
 
@@ -283,53 +294,68 @@ def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vector: str
     def route(batches):
         for batch in batches:
             for d, part in _by_length(batch):
-                if d not in trees:
-                    which, leaves = np.arange(part.num_rows), np.zeros(part.num_rows)
-                else:
-                    which, leaves = [], []
-                    for i, q in enumerate(_matrix(part.column("v"), d)):
-                        seen = 0
-                        for at, b in enumerate(trees[d].bins(q)):
-                            if at >= visits[d] and seen > k:
-                                break
-                            if filled[d][b]:
-                                which.append(i)
-                                leaves.append(b)
-                                seen += filled[d][b]
+                which, leaves, early = [], [], []
+                for i, q in enumerate(_matrix(part.column("v"), d)):
+                    seen = used = 0
+                    for at, b in enumerate(trees[d].bins(q) if d in trees else [0]):
+                        if d in trees and at >= visits[d] and seen > k:
+                            break
+                        if d not in trees or filled[d][b]:
+                            which.append(i)
+                            leaves.append(b)
+                            early.append(used < FIRST or seen <= k)
+                            used += 1
+                            seen += filled[d][b] if d in trees else 0
                 for s in range(0, len(which), 4096):
                     out = part.take(pa.array(np.asarray(which[s : s + 4096], np.int64)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(out.num_rows, d, np.int32)), pa.array(np.asarray(leaves[s : s + 4096], np.int32)), out.column("rep"), out.column("v")],
-                        names=["dims", "leaf", "rep", "v"],
+                        [
+                            pa.array(np.full(out.num_rows, d, np.int32)), pa.array(np.asarray(leaves[s : s + 4096], np.int32)),
+                            pa.array(early[s : s + 4096], pa.bool_()), out.column("rep"), out.column("v"),
+                        ],
+                        names=["dims", "leaf", "early", "rep", "v"],
                     )
 
-    routed = saved(reps.select("rep", "v").mapInArrow(route, f"dims int, leaf int, rep long, v {kind}"), "near-routed")
-    parts = lambda df, name: df.groupBy("dims", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    blocks = saved(parts(index.rows, "row_parts").join(parts(routed, "query_parts"), ["dims", "leaf"]), "near-blocks")
-
-    def cut(df: DataFrame, key: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-        return lookup_join(df, blocks, ["dims", "leaf"]).select(
-            "dims", "leaf", F.col(key).alias("key"), "v", F.pmod(F.xxhash64(F.lit(3), key), F.col(own)).cast("int").alias(mine),
-            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs),
+    routed = reps.select("rep", "v").mapInArrow(route, f"dims int, leaf int, early boolean, rep long, v {kind}")
+    routed = saved(routed, "near-routed")
+
+    def compared(asking: DataFrame) -> DataFrame:
+        """(rep, id, score) of the rows found for (dims, leaf, rep, v, most), per block of a leaf."""
+        parts = lambda df, name: df.groupBy("dims", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        blocks = saved(parts(index.rows, "row_parts").join(parts(asking, "query_parts"), ["dims", "leaf"]), "near-blocks")
+
+        def cut(df: DataFrame, key: str, own: str, other: str, mine: str, theirs: str, *more: str) -> DataFrame:
+            return lookup_join(df, blocks, ["dims", "leaf"]).select(
+                "dims", "leaf", F.col(key).alias("key"), "v", *more,
+                F.pmod(F.xxhash64(F.lit(3), key), F.col(own)).cast("int").alias(mine),
+                F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs),
+            )
+
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return pa.table({n: pa.array([], t) for n, t in zip(("rep", "id", "score"), (pa.int64(), pa.int64(), pa.float64()))})
+            dims, ids, reps = left.column("dims")[0].as_py(), left.column("key").to_numpy(), right.column("key").to_numpy()
+            most = right.column("most").to_numpy()
+            i, j, d = _near(_matrix(left.column("v"), dims), ids, _matrix(right.column("v"), dims), k + 1, most)
+            return pa.table({"rep": pa.array(reps[i]), "id": pa.array(ids[j]), "score": pa.array(d)})
+
+        group = ["dims", "leaf", "rb", "qb"]
+        return (
+            cut(index.rows, "id", "row_parts", "query_parts", "rb", "qb").groupBy(*group)
+            .cogroup(cut(asking, "rep", "query_parts", "row_parts", "qb", "rb", "most").groupBy(*group))
+            .applyInArrow(compare, "rep long, id long, score double")
         )
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(("rep", "id", "score"), (pa.int64(), pa.int64(), pa.float64()))})
-        dims, ids, reps = left.column("dims")[0].as_py(), left.column("key").to_numpy(), right.column("key").to_numpy()
-        i, j, d = _near(_matrix(left.column("v"), dims), ids, _matrix(right.column("v"), dims), k + 1)
-        return pa.table({"rep": pa.array(reps[i]), "id": pa.array(ids[j]), "score": pa.array(d)})
-
     def nearest(df: DataFrame, most: int, *key: str) -> DataFrame:
         order = Window.partitionBy(*key).orderBy("score", "id")
         return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
-    group = ["dims", "leaf", "rb", "qb"]
-    found = (
-        cut(index.rows, "id", "row_parts", "query_parts", "rb", "qb").groupBy(*group)
-        .cogroup(cut(routed, "rep", "query_parts", "row_parts", "qb", "rb").groupBy(*group))
-        .applyInArrow(compare, "rep long, id long, score double")
-    )
+    anything = F.lit(float("inf"))
+    early = saved(nearest(compared(routed.where("early").withColumn("most", anything)), k + 1, "rep"), "near-early")
+    bound = early.where(F.col("rank") == k + 1).select("rep", F.col("score").alias("most"))
+    bounded = routed.where("not early").join(bound, "rep", "left").fillna(float("inf"), ["most"])
+    late = compared(saved(bounded.select("dims", "leaf", "rep", "v", "most"), "near-late"))
+    found = early.select("rep", "id", "score").unionByName(late)
     answers = saved(nearest(found, k + 1, "rep").drop("rank"), "near-answers")
     discard(routed)
     given = asked.join(reps, "v").select("query_id", "rep").join(answers, "rep")
