@@ -7,21 +7,18 @@ the lines under every later one go, however many windows cover them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodlens.llm.tables import SPACE_CHARS, discard, saved
+from periodlens.llm.tables import SPACE_CHARS, discard, let, saved
 
 WIDTH = 3
 
 
-def _numbered_lines(text: str):
+def _filled(lines: Column) -> Column:
     """(i, t) of the lines that hold a word, ``i`` counting all lines."""
-    lines = F.transform(
-        F.split(F.col(text), "\n"),
-        lambda line, i: F.struct(i.alias("i"), F.btrim(line, F.lit(SPACE_CHARS)).alias("t")),
-    )
-    return F.filter(lines, lambda x: x["t"] != "")
+    stripped = F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.btrim(line, F.lit(SPACE_CHARS)).alias("t")))
+    return F.filter(stripped, lambda x: x["t"] != "")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -34,7 +31,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     """
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     mark = F.xxhash64(F.col(text))
-    hashes = F.transform(_numbered_lines(text), lambda x: F.xxhash64(x["t"]))
+    hashes = F.transform(_filled(F.split(F.col(text), "\n")), lambda x: F.xxhash64(x["t"]))
     rows = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), hashes.alias("h"))
     keys = [f"h{j}" for j in range(width)]
     windows = saved(
@@ -64,21 +61,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
         "line-covered",
     )
     discard(windows)
-    joined = docs.select(*cols, mark.alias("_m")).join(
-        covered, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left"
+    # The row travels as one value, so its columns may have any name.
+    named = docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"), mark.alias("mark"))
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    # Covered lines grow with the documents, so the plan is a merge at every size.
+    joined = named.join(covered.hint("merge"), on, "left")
+
+    def cut(lines: Column) -> Column:
+        gone = let(_filled(lines), lambda filled: F.transform("_covered", lambda o: F.get(filled, o)["i"]))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+        return F.struct(kept.alias("kept"), F.size("_covered").alias("gone"))
+
+    lines = F.split(F.col("text"), "\n")
+    done = joined.select(
+        "row",
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("_covered").isNotNull(), let(lines, cut)).alias("cut"),
     )
-    numbered = _numbered_lines(text)
-    gone = F.transform("_covered", lambda o: F.get(numbered, o)["i"])
-    lines = F.split(F.col(text), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.when(
-        F.col("_gone").isNotNull(), F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    ).otherwise(F.col(text))
-    return (
-        joined.withColumn("_gone", F.when(F.col("_covered").isNotNull(), gone))
-        .withColumn("n_lines", F.greatest(F.lit(0), F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_removed")))
-        .withColumn(text, kept)
-        .select(*cols, "n_lines", "n_removed")
+    kept = F.when(F.col("cut").isNotNull(), F.col("cut.kept")).otherwise(F.col("row")[text])
+    return done.select(
+        *[kept.alias(c) if c == text else F.col("row")[c].alias(c) for c in cols],
+        "n_lines",
+        F.coalesce("cut.gone", F.lit(0)).cast("long").alias("n_removed"),
     )

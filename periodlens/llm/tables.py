@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +52,17 @@ def word_count(text: Column) -> Column:
 def uniform(*columns: Column) -> Column:
     """A number in [0, 1) that depends on the columns alone."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(2**53))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often ``body`` uses it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def then_freed(batches: Iterator, free: Callable[[], object]) -> Iterator:
+    """``batches``; when they end, a worker that is used again gives back what the task held."""
+    try:
+        yield from batches
+    finally:
+        free()
+        pa.default_memory_pool().release_unused()
