@@ -47,6 +47,53 @@ score AS (SELECT r.MatchID, r.PeriodID, r.rank, CASE WHEN r.rank = 1 THEN -1.0 E
           FROM ranks r LEFT JOIN ls ON r.MatchID = ls.MatchID AND r.rank = ls.rank)
 """
 
+def deviation_sql(window: int, name: str = "score") -> str:
+    """Scores for any number of earlier periods: normal equations by self-joins, solved on lists.
+
+    Gauss-Jordan steps invert the matrix with a small number added to its diagonal, and each of a
+    few refinements takes most of that number's effect back. Where the equations leave freedom,
+    this leads to the solution of least length.
+    """
+    lags = range(1, window + 1)
+    joins = "\n".join(
+        f"LEFT JOIN redges p{k} ON c.MatchID = p{k}.MatchID AND c.rank = p{k}.rank + {k} AND c.a = p{k}.a AND c.b = p{k}.b" for k in lags
+    )
+    sums = [f"sum(x{i} * x{j}) AS g{i}_{j}" for i in lags for j in lags if i <= j] + [f"sum(x{i} * y) AS c{i}" for i in lags]
+    cell = lambda i, j: f"g{min(i, j)}_{max(i, j)}"
+    gram = ", ".join("[" + ", ".join(cell(i, j) for j in lags) + "]" for i in lags)
+    right = ", ".join(f"c{i}" for i in lags)
+    trace = " + ".join(cell(k, k) for k in lags)
+    steps = "".join(
+        f"""{name}_m{k} AS (SELECT MatchID, rank, g, c, list_transform(m, lambda r, i: CASE WHEN i = {k}
+            THEN list_transform(r, lambda v: v / m[{k}][{k}])
+            ELSE list_transform(r, lambda v, j: v - r[{k}] * m[{k}][j] / m[{k}][{k}]) END) AS m FROM {name}_m{k - 1}),
+        """
+        for k in lags
+    )
+    rounds = range(1, 7)
+    refined = "".join(
+        f"""{name}_r{k} AS (SELECT MatchID, rank, g, c, m, b, list_transform(c, lambda v, i: v - list_dot_product(g[i], b)) AS e FROM {name}_b{k - 1}),
+        {name}_b{k} AS (SELECT MatchID, rank, g, c, m, list_transform(b, lambda v, i: v + list_dot_product(m[i][{window + 1}:], e)) AS b FROM {name}_r{k}),
+        """
+        for k in rounds
+    )
+    return f"""
+{name}_h AS (SELECT c.MatchID, c.rank, c.w AS y, {', '.join(f'coalesce(p{k}.w, 0) AS x{k}' for k in lags)} FROM redges c
+{joins}),
+{name}_n AS (SELECT MatchID, rank, {', '.join(sums)} FROM {name}_h GROUP BY ALL),
+{name}_l AS (SELECT MatchID, rank, [{gram}]::DOUBLE[][] AS g, [{right}]::DOUBLE[] AS c, 1e-8::DOUBLE * ({trace}) + 1e-30::DOUBLE AS lam FROM {name}_n),
+{name}_m0 AS (SELECT MatchID, rank, g, c, list_transform(g, lambda r, i: list_concat(
+    list_transform(r, lambda v, j: CASE WHEN i = j THEN v + lam ELSE v END),
+    list_transform(r, lambda v, j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))) AS m FROM {name}_l),
+{steps}
+{name}_b0 AS (SELECT MatchID, rank, g, c, m, list_transform(c, lambda v: 0.0::DOUBLE) AS b FROM {name}_m{window}),
+{refined}
+{name}_ls AS (SELECT MatchID, rank, list_sum(b) AS s FROM {name}_b{rounds[-1]}),
+{name} AS (SELECT r.MatchID, r.PeriodID, r.rank, CASE WHEN r.rank = 1 THEN -1.0 ELSE coalesce(l.s, 0) END AS score
+  FROM ranks r LEFT JOIN {name}_ls l ON r.MatchID = l.MatchID AND r.rank = l.rank)
+"""
+
+
 METRICS_SQL = """
 SELECT threshold, count(*) AS n,
   round(count(*) FILTER (WHERE e = y) / count(*)::DOUBLE, 6) AS accuracy,
@@ -157,14 +204,14 @@ def graph_period_rank_first_seen(spark, sf):
 
 @query(
     "graph_edge_history",
-    """WITH g AS (SELECT c.*, unnest(generate_series(1, least(2, c.rank - 1))) AS lag FROM redges c)
+    """WITH g AS (SELECT c.*, unnest(generate_series(1, least(12, c.rank - 1))) AS lag FROM redges c)
     SELECT g.MatchID, g.rank, g.lag, count(*) AS n, count(p.w) AS n_known, round(sum(g.w * coalesce(p.w, 0)), 4) AS xy
     FROM g LEFT JOIN redges p ON g.MatchID = p.MatchID AND p.rank = g.rank - g.lag AND p.a = g.a AND p.b = g.b GROUP BY ALL""",
     "posts graph",
 )
 def graph_edge_history(spark, sf):
     """The whole edge history, reported per period and lag."""
-    past = graph.edge_history(*graphs(spark, sf), 2)
+    past = graph.edge_history(*graphs(spark, sf), graph.DEVIATION_WINDOW)
     return past.groupBy("MatchID", "rank", "lag").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("w_before") > 0).alias("n_known"),
@@ -240,31 +287,51 @@ def deviation_window_2(spark, sf):
     return scores.select("MatchID", "PeriodID", "rank", F.round("score", 6).alias("score"))
 
 
-@query("deviation_window_12")
+@query(
+    "deviation_window_12",
+    "WITH " + deviation_sql(12) + """SELECT MatchID, PeriodID, rank, round(score, 6) AS score,
+    CASE WHEN score >= 0.9 THEN 1 ELSE 0 END AS is_event FROM score""",
+    "posts graph",
+)
 def deviation_window_12(spark, sf):
-    return detection.detect(tt.posts(spark, sf), "deviation", threshold=0.9)
+    flags = detection.detect(tt.posts(spark, sf), "deviation", threshold=0.9)
+    return flags.withColumn("score", F.round("score", 6))
 
 
 @query(
     "sweep_deviation",
-    "WITH " + P2_SQL + f""",
+    "WITH " + deviation_sql(12) + f""",
     flags AS (SELECT threshold, EventType AS y, CASE WHEN score >= threshold THEN 1 ELSE 0 END AS e
       FROM score JOIN lab USING (MatchID, PeriodID), (VALUES {CUT_VALUES}) v(threshold))""" + METRICS_SQL,
     "posts graph",
 )
 def sweep_deviation(spark, sf):
     report = detection.threshold_report(
-        tt.posts(spark, sf), tt.period_labels(spark, sf), "deviation", CUTS, windows=[2]
+        tt.posts(spark, sf), tt.period_labels(spark, sf), "deviation", CUTS, windows=[graph.DEVIATION_WINDOW]
     )
     return report.select(
         "threshold", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")]
     )
 
 
-@query("sweep_deviation_windows")
+WINDOWS = [1, 5, 12]
+
+
+@query(
+    "sweep_deviation_windows",
+    "WITH " + ", ".join(deviation_sql(w, f"score{w}") for w in WINDOWS) + f""",
+    scores AS ({' UNION ALL '.join(f'SELECT *, {w} AS win FROM score{w}' for w in WINDOWS)}),
+    flags AS (SELECT win, threshold, EventType AS y, CASE WHEN score >= threshold THEN 1 ELSE 0 END AS e
+      FROM scores JOIN lab USING (MatchID, PeriodID), (VALUES {CUT_VALUES}) v(threshold))"""
+    + METRICS_SQL.replace("SELECT threshold", 'SELECT win AS "window", threshold').replace("GROUP BY threshold", "GROUP BY win, threshold"),
+    "posts graph",
+)
 def sweep_deviation_windows(spark, sf):
-    return detection.threshold_report(
-        tt.posts(spark, sf), tt.period_labels(spark, sf), "deviation", CUTS, windows=[1, 5, 12]
+    report = detection.threshold_report(
+        tt.posts(spark, sf), tt.period_labels(spark, sf), "deviation", CUTS, windows=WINDOWS
+    )
+    return report.select(
+        "window", "threshold", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")]
     )
 
 

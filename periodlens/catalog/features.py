@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from periodlens.catalog.registry import query, sql_tokens
+from periodlens.catalog.counts import FEATURES_SQL
+from periodlens.catalog.registry import query, sql_digest, sql_tokens
 from periodlens.functions import text as tx
 from periodlens.operators import features as ft
 from periodlens.operators import neighbours as nb
@@ -48,7 +49,15 @@ def tfidf_weights(spark, sf):
     return cells.select("row_id", F.col("idx").cast("bigint").alias("idx"), r6("weight"))
 
 
-@query("random_split")
+def sql_side(key: str, seed: int, fraction: float, below: str, above: str) -> str:
+    return f"CASE WHEN {sql_digest(f"concat_ws('-', {key}, {seed})")} / 281474976710656.0::DOUBLE < {fraction}::DOUBLE THEN '{below}' ELSE '{above}' END"
+
+
+@query(
+    "random_split",
+    f"SELECT {sql_side('row_id', 42, 0.8, 'train', 'validation')} AS split, EventType, count(*) AS n FROM posts GROUP BY ALL",
+    "posts",
+)
 def random_split(spark, sf):
     done = ft.random_split(tt.labelled_posts(spark, sf), 0.8, 42, "row_id")
     return done.groupBy("split", "EventType").agg(F.count("*").alias("n"))
@@ -66,7 +75,11 @@ def stratified_split_exact(spark, sf):
     )
 
 
-@query("stratified_split")
+@query(
+    "stratified_split",
+    f"SELECT EventType, {sql_side('row_id', 7, 0.1, 'validation', 'train')} AS split, count(*) AS n FROM posts GROUP BY ALL",
+    "posts",
+)
 def stratified_split(spark, sf):
     done = ft.stratified_split(tt.labelled_posts(spark, sf), 0.1, 7, "row_id", "EventType")
     return done.groupBy("EventType", "split").agg(F.count("*").alias("n"))
@@ -91,9 +104,22 @@ def split_overlap(spark, sf):
     return ft.split_overlap(posts.where("MatchID = 9"), posts.where("MatchID <> 9"), "Tweet")
 
 
-@query("embed_text_hashing")
+def sql_hashing(words: str, dims: int, name: str = "v") -> str:
+    """One column per slot: the words of the slot with a plus less those with a minus."""
+    codes = f"list_transform({words}, lambda w: {sql_digest('w')} % {2 * dims})"
+    count = lambda c: f"len(list_filter({codes}, lambda c: c = {c}))"
+    return ", ".join(f"({count(2 * i)} - {count(2 * i + 1)})::DOUBLE AS {name}{i}" for i in range(dims))
+
+
+@query(
+    "embed_text_hashing",
+    f"WITH t AS (SELECT row_id, list_transform({sql_tokens('lower(Tweet)')}, lambda w: w) AS ws FROM posts)"
+    f" SELECT row_id, {sql_hashing('ws', 16)} FROM t",
+    "posts",
+)
 def embed_text_hashing(spark, sf):
-    return ft.embed_text(tt.posts(spark, sf).select("row_id", "Tweet"), "Tweet", dims=16).select("row_id", "vec")
+    done = ft.embed_text(tt.posts(spark, sf).select("row_id", "Tweet"), "Tweet", dims=16)
+    return done.select("row_id", *[F.get("vec", F.lit(i)).cast("double").alias(f"v{i}") for i in range(16)])
 
 
 def positions(spark, sf):
@@ -260,11 +286,24 @@ def id_lookup(spark, sf):
     return tt.labelled_posts(spark, sf).select("row_id", "EventType")
 
 
-@query("period_feature_vectors")
+VECTORS_SQL = f"""{FEATURES_SQL},
+ht AS (SELECT ID, {sql_tokens('lower(Tweet)')} AS ws FROM kept),
+hv AS (SELECT ID, {sql_hashing('ws', 16)} FROM ht),
+hm AS (SELECT ID, {', '.join(f'round(avg(v{i}), 6) AS f{i}' for i in range(16))} FROM hv GROUP BY ID),
+hz AS (SELECT ID, {', '.join(
+    f'round(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 6) AS f{i}'
+    for i, c in enumerate(('NumTweets', 'AvgTweetLength', 'PeriodID'), 16)
+)} FROM feat)
+SELECT * FROM hm JOIN hz USING (ID)
+"""
+
+
+@query("period_feature_vectors", "WITH" + VECTORS_SQL, "posts")
 def period_feature_vectors(spark, sf):
     """Hashed text vectors pooled per period with the normalised features appended."""
     posts = exploration.prepared(tt.labelled_posts(spark, sf))
     vectors = ft.embed_text(posts, "Tweet", dims=16)
     pooled = ft.masked_mean_pool(vectors, "ID", "vec")
     extra = exploration.normalised_features(tt.labelled_posts(spark, sf))
-    return ft.assemble_features(pooled, extra, "ID", ["NumTweets", "AvgTweetLength", "NormalizedPeriod"])
+    done = ft.assemble_features(pooled, extra, "ID", ["NumTweets", "AvgTweetLength", "NormalizedPeriod"])
+    return done.select("ID", *[F.round(F.get("features", F.lit(i)), 6).alias(f"f{i}") for i in range(19)])

@@ -4,7 +4,6 @@ All learners run with their full settings. Boosting rounds run one after the oth
 so the boosted learners take long.
 """
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from periodlens.catalog.registry import STOPWORDS, query
@@ -32,12 +31,8 @@ def model_logreg_report(spark, sf):
 
 def kernel_split(data):
     """Training and test rows with kernel features; a row without terms has a zero vector."""
-    sparse = ft.tfidf_weights(data.train.unionByName(data.test), "row_id", "text", data.vocabulary)
-    labels = data.train.unionByName(data.test).select("row_id", "ID", "EventType", "split")
-    none = {c: F.coalesce(c, F.array().cast(sparse.schema[c].dataType)) for c in ("idx", "weight")}
-    rows = materialise(labels.join(sparse, "row_id", "left").withColumns(none), "sparse-rows")
-    train = rows.where("split = 'train'")
-    dense, root = md.kernel_root(md.landmarks(train, "row_id", 100), data.vocabulary.count(), 0.1)
+    dense, root = md.kernel_root(md.landmarks(data.train, "row_id", 100), data.vocabulary.count(), 0.1)
+    rows = data.train.unionByName(data.test)
     features = materialise(md.kernel_features(rows, dense, root), "kernel-rows")
     return features.where("split = 'train'"), features.where("split = 'validation'")
 
@@ -75,10 +70,7 @@ def model_apply_all(spark, sf):
         "gbt": md.train_gbt(data.train), "boosted_stumps": md.train_boosted_stumps(data.train),
     }
     train, test = kernel_split(data)
-    near = nb.knn_classify(
-        *[x.select("row_id", "EventType", vector_to_array("features").alias("vec")) for x in (data.train, data.test)],
-        10, "row_id", label="EventType",
-    )
+    near = nb.sparse_knn_classify(data.train, data.test, 10, "row_id", "EventType")
     near = data.test.select(*keep).join(near, "row_id")
     done = rw.union_all(
         [

@@ -80,6 +80,11 @@ SQL_CLEAN_TOKENS = sql_clean_tokens(sql_remove(SQL_CLEAN_BASE, tx.RETWEET))
 SQL_CLEAN_TOKENS_ANCHORED = sql_clean_tokens(sql_remove(SQL_CLEAN_BASE, f"(^|[^{tx.WORD}]){tx.RETWEET}", "\\1"))
 
 
+def sql_digest(text: str, digits: int = 12) -> str:
+    """The head of an MD5 digest as a number."""
+    return f"('0x' || substr(md5({text}), 1, {digits}))::BIGINT"
+
+
 def sql_distinct(words: str) -> str:
     """First occurrences of a list column, in order."""
     return f"list_filter({words}, lambda w, i: list_position({words}, w) = i)"

@@ -11,6 +11,7 @@ from periodlens.catalog.registry import (
     SQL_ML_TOKENS,
     STOPWORDS,
     query,
+    sql_digest,
     sql_distinct,
     sql_list,
     sql_remove,
@@ -228,7 +229,11 @@ def number_formats(spark, sf):
     )
 
 
-@query("text_dedup_key")
+@query(
+    "text_dedup_key",
+    f"SELECT row_id, {sql_digest("concat_ws('-', Tweet, PeriodID)", 15)} AS key FROM texts",
+    "posts texts",
+)
 def text_dedup_key(spark, sf):
     return texts(spark, sf).select("row_id", tx.dedup_key(F.col("Tweet"), F.col("PeriodID")).alias("key"))
 
@@ -285,7 +290,7 @@ def rows_epoch_range(spark, sf):
     return rows.at_most(tt.run_history(spark, sf), "epoch", 20).select("run_id", "step", "epoch")
 
 
-@query("rows_sample")
+@query("rows_sample", f"SELECT row_id, Tweet FROM posts WHERE {sql_digest("concat_ws('-', row_id, 42)")} % 1000000 < 100000", "posts")
 def rows_sample(spark, sf):
     return rows.sample(tt.posts(spark, sf), 0.1, seed=42).select("row_id", "Tweet")
 

@@ -190,8 +190,18 @@ def id_period(id_: Column) -> Column:
     return F.split_part(id_, F.lit("_"), F.lit(2)).cast("int")
 
 
+def digest_number(*cols: Column | int, digits: int = 12) -> Column:
+    """A number of ``digits`` hexadecimal digits (15 at most) that depends on the values alone.
+
+    It is the head of the MD5 digest of the values joined by ``-``, so other engines can work it
+    out too. Nulls are left out of the joined text.
+    """
+    parts = [(c if isinstance(c, Column) else F.lit(c)).cast("string") for c in cols]
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *parts)), 1, digits), 16, 10).cast("bigint")
+
+
 def dedup_key(*cols: Column) -> Column:
-    return F.xxhash64(F.concat_ws("-", *[c.cast("string") for c in cols]))
+    return digest_number(*cols, digits=15)
 
 
 def fixed_digits(value: Column, digits: int) -> Column:

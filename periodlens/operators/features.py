@@ -98,7 +98,7 @@ def tfidf_features(df: DataFrame, text: str, model: PipelineModel) -> DataFrame:
 
 def _unit(key: Column, seed: int) -> Column:
     """A uniform number in [0, 1) that depends on the key and the seed alone."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2**40)) / float(2**40)
+    return tx.digest_number(key, seed) / float(2**48)
 
 
 def random_split(df: DataFrame, fraction: float, seed: int, key: str) -> DataFrame:
@@ -140,9 +140,7 @@ def hashing_vector(words: Column, dims: int = 64) -> Column:
     Words are hashed once; the signs of a slot are summed in Arrow batches.
     """
     # Slot and sign of a word as one number: 2 * slot, plus 1 for a minus.
-    codes = F.transform(
-        words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)) * 2 + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))
-    )
+    codes = F.transform(words, lambda w: tx.digest_number(w) % (2 * dims))
 
     @F.pandas_udf("array<double>")
     def summed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -133,17 +133,19 @@ def evolution_distance(weights: DataFrame, ranks: DataFrame) -> DataFrame:
     ``weights`` are summed edges or the raw ``word_pairs``: the difference of two graphs is a
     sum as well. Every weight counts for its own period and, negated, for the next one, so one
     aggregation per (period, pair) gives the cells of the difference, without a self-join and
-    without sorting. Each pair stands for two matrix cells.
+    without sorting. Each pair stands for two matrix cells. Pairs travel as 128-bit hashes, which
+    are shorter than two words and of one width.
     """
     signed = F.array(
         F.struct(F.col("rank").alias("rank"), F.col("w").alias("d")),
         F.struct((F.col("rank") + 1).alias("rank"), (-F.col("w")).alias("d")),
     )
+    pair = [F.xxhash64("a", "b").alias("p"), F.xxhash64(F.lit(1), "a", "b").alias("q")]
     squares = (
         ranked_edges(weights, ranks)
-        .select("MatchID", "a", "b", F.inline(signed))
+        .select("MatchID", *pair, F.inline(signed))
         .where(F.col("rank") > 1)
-        .groupBy("MatchID", "rank", "a", "b")
+        .groupBy("MatchID", "rank", "p", "q")
         .agg(F.sum("d").alias("d"))
         .groupBy("MatchID", "rank")
         .agg(F.sum(F.col("d") * F.col("d")).alias("sq"))

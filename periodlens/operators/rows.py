@@ -42,7 +42,7 @@ def filter_tweets(df: DataFrame, text: str = "Tweet") -> DataFrame:
 
 def sample(df: DataFrame, fraction: float, seed: int, key: str = "row_id") -> DataFrame:
     """A repeatable sample: whether a row is in depends on its key and the seed alone."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
+    bucket = tx.digest_number(F.col(key), seed) % 1_000_000
     return df.where(bucket < int(round(fraction * 1_000_000)))
 
 
