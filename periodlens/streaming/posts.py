@@ -6,9 +6,14 @@ batch) DataFrame; ``run_available`` drives one to completion into a parquet tabl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from periodlens.functions import text as tx
 from periodlens.operators import graph
@@ -22,15 +27,18 @@ FLAGS = T.StructType(
         T.StructField("is_event", T.IntegerType()),
     ]
 )
-EDGES = T.StructType(
+CLOSED = T.StructType(
     [
         T.StructField("MatchID", T.IntegerType()),
+        T.StructField("bucket", T.IntegerType()),
         T.StructField("PeriodID", T.LongType()),
-        T.StructField("a", T.StringType()),
-        T.StructField("b", T.StringType()),
-        T.StructField("w", T.DoubleType()),
+        T.StructField("norm", T.DoubleType()),
+        T.StructField("before", T.LongType()),
+        T.StructField("diff", T.DoubleType()),
     ]
 )
+BUCKETS = 16
+MARK = -1
 
 
 def read_files(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
@@ -60,77 +68,162 @@ def period_counts(posts: DataFrame, keys: list[str], width: str = "1 minute", de
     )
 
 
-def closed_edges(posts: DataFrame, period: Column, width: str = "1 minute", delay: str = "1 minute") -> DataFrame:
-    """Edge weights of closed periods, for append mode.
+def closed_edges(
+    posts: DataFrame, period: Column, width: str = "1 minute", delay: str = "1 minute", buckets: int = BUCKETS,
+    dedup: bool = False,
+) -> DataFrame:
+    """Rows (MatchID, bucket, PeriodID, end, p, q, w) that the detector sums until their period closes.
 
-    A pair with empty words and weight 0 marks that a period exists, even without edges. The
-    aggregation key holds the word pair, so a busy match is spread over all state partitions.
+    A word pair is known by the two hashes ``p`` and ``q``, whose ``bucket`` spreads a busy match
+    over state partitions. A row in bucket ``MARK`` says that a period exists, even without edges.
+    With ``dedup`` a text counts once a match; texts are remembered for ``delay``, so a repeat that
+    comes later than that counts again.
     """
-    stamped = posts.withWatermark("event_time", delay).select(
-        "event_time", "MatchID", period.cast("bigint").alias("PeriodID"), "Preprocessed_Tweet"
-    )
+    stamped = posts.withWatermark("event_time", delay)
+    if dedup:
+        stamped = stamped.dropDuplicatesWithinWatermark(["MatchID", "Preprocessed_Tweet"])
+    # The window stands for the event time, so a row is late when its period has ended.
     units = F.array_sort(F.array_distinct(tx.tokenize(F.col("Preprocessed_Tweet"))))
     size = F.size("units")
-    left = stamped.select("event_time", "MatchID", "PeriodID", units.alias("units")).select(
-        "event_time", "MatchID", "PeriodID", "units",
+    rows = stamped.select(
+        F.window("event_time", width).alias("window"), "MatchID", period.cast("bigint").alias("PeriodID"), units.alias("units")
+    )
+    left = rows.select(
+        "window", "MatchID", "PeriodID", "units",
         F.posexplode(F.concat(F.array(F.lit("")), F.col("units"))).alias("i", "a"),
     )
     rest = F.when(F.col("i") == 0, F.array(F.lit(""))).otherwise(F.slice("units", F.col("i") + 1, size))
     pairs = left.select(
-        "event_time", "MatchID", "PeriodID", "a", F.explode(rest).alias("b"),
+        "window", "MatchID", "PeriodID", (F.col("i") == 0).alias("mark"), "a", F.explode(rest).alias("b"),
         F.when(F.col("i") == 0, 0.0).otherwise(1.0 / size).alias("w"),
     )
-    return (
-        pairs.groupBy(F.window("event_time", width), "MatchID", "PeriodID", "a", "b")
-        .agg(F.sum("w").alias("w"))
-        .select("MatchID", "PeriodID", "a", "b", "w")
+    hashed = pairs.select(
+        "window", "MatchID", "PeriodID", F.unix_millis(F.col("window.end")).alias("end"), "mark", "w",
+        F.xxhash64("a", "b").alias("p"), F.xxhash64(F.lit(1), "a", "b").alias("q"),
     )
+    bucket = F.when(F.col("mark"), MARK).otherwise(F.pmod("p", F.lit(buckets))).cast("int")
+    return hashed.select("window", "MatchID", bucket.alias("bucket"), "PeriodID", "end", "p", "q", "w")
+
+
+PAIR = np.dtype([("period", "<i8"), ("end", "<i8"), ("p", "<i8"), ("q", "<i8"), ("w", "<f8")])
+
+
+def _summed(pairs: np.ndarray, *keys: str) -> np.ndarray:
+    """One entry for each value of ``keys``, with the sum of the weights."""
+    pairs = pairs[np.lexsort([pairs[k] for k in reversed(keys)])]
+    new = np.ones(len(pairs), bool)
+    if len(pairs):
+        new[1:] = np.any([pairs[k][1:] != pairs[k][:-1] for k in keys], axis=0)
+    out = pairs[new].copy()
+    if len(pairs):
+        out["w"] = np.add.reduceat(pairs["w"], np.flatnonzero(new))
+    return out
+
 
+def _squares(pairs: np.ndarray) -> float:
+    return float((pairs["w"] ** 2).sum())
 
-class EvolutionSink:
-    """``foreachBatch`` sink: distances and flags of newly closed periods, in period order.
 
-    The state is the last closed period of every match: its flag and its edges. Each
-    micro-batch reads the state its predecessor wrote and writes flags and state under its own
-    id, so a repeated batch writes the same tables again and nothing is kept in memory. A closed
-    period is final; rows that come for it later were already dropped by the watermark.
+class EvolutionProcessor(StatefulProcessor):
+    """Sums the pairs of a match's bucket by period and, when a period closes, compares it.
+
+    State are the pairs of open periods and those of the last closed one. An event-time timer at
+    the end of the first open period gives a row for each period that the watermark has passed
+    (``norm``, its squared weight; ``before``, the last period of this bucket; ``diff``, the squared
+    difference to it) and drops the older pairs. ``keep_ms`` after the last period the rest
+    goes too. Spark drops rows whose window the watermark had passed in the batch before, and
+    periods close after the rows of a batch, so a closed period gets no more rows in any bucket.
     """
 
-    def __init__(self, folder: str, threshold: float):
-        self.folder, self.threshold = folder, threshold
-
-    def _read(self, spark: SparkSession, table: str, schema: T.StructType, batch: int) -> DataFrame:
-        if batch < 0:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{self.folder}/{table}/batch={batch}")
-
-    def _write(self, df: DataFrame, table: str, schema: T.StructType, batch: int) -> DataFrame:
-        typed = df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-        typed.write.mode("overwrite").parquet(f"{self.folder}/{table}/batch={batch}")
-        return self._read(df.sparkSession, table, schema, batch)
-
-    def __call__(self, df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        fresh = self._write(df, "edges", EDGES, batch)
-        state = self._read(spark, "state", FLAGS, batch - 1)
-        both = fresh.unionByName(self._read(spark, "state_edges", EDGES, batch - 1))
-        ranks = materialise(
-            graph.period_rank(both.select("MatchID", "PeriodID", F.lit(0).alias("row_id"))), "ranks"
-        )
-        distances = graph.evolution_distance(both.where(F.col("w") > 0), ranks)
-        # The carried period only lends its graph: it is first in its match and never flips.
-        last = state.select("MatchID", F.col("PeriodID").alias("last"), F.col("is_event").alias("before"))
-        stepped = graph.detect_evolution(distances, self.threshold).join(last, "MatchID", "left")
-        flips = (F.col("is_event") + F.coalesce("before", F.lit(0))) % 2
-        new = stepped.where(F.col("last").isNull() | (F.col("PeriodID") > F.col("last")))
-        flags = self._write(new.withColumn("is_event", flips), "flags", FLAGS, batch)
-        current = flags.unionByName(state)
-        newest = current.groupBy("MatchID").agg(F.max_by(F.struct(*FLAGS.names), "PeriodID").alias("r"))
-        kept = self._write(newest.select("r.*"), "state", FLAGS, batch)
-        self._write(
-            both.join(kept.select("MatchID", "PeriodID"), ["MatchID", "PeriodID"], "left_semi"),
-            "state_edges", EDGES, batch,
-        )
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "pairs binary")
+        self.last = handle.getValueState("last", "period bigint, end bigint, pairs binary")
+
+    def _open(self) -> np.ndarray:
+        return np.frombuffer(self.open.get()[0], PAIR) if self.open.exists() else np.zeros(0, PAIR)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = []
+        for part in rows:
+            pairs = np.zeros(len(part), PAIR)
+            for name, column in zip(PAIR.names, ("PeriodID", "end", "p", "q", "w")):
+                pairs[name] = part[column].to_numpy()
+            fresh.append(_summed(pairs, "period", "end", "p", "q"))
+        pairs = np.concatenate(fresh)
+        if len(pairs):
+            held = _summed(np.concatenate([self._open(), pairs]), "period", "end", "p", "q")
+            self.open.update((held.tobytes(),))
+            self.handle.registerTimer(int(held["end"].min()))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, held, out = timerValues.getCurrentWatermarkInMs(), self._open(), []
+        last = self.last.get() if self.last.exists() else None
+        due = held["end"] <= now
+        for period in np.unique(held["period"][due]).tolist():
+            pairs = _summed(held[due & (held["period"] == period)], "p", "q")
+            before, diff = None, None
+            if last is not None:
+                minus = np.frombuffer(last[2], PAIR).copy()
+                minus["w"] *= -1
+                before, diff = last[0], _squares(_summed(np.concatenate([pairs, minus]), "p", "q"))
+            out.append((key[0], key[1], period, _squares(pairs), before, diff))
+            last = (period, int(pairs["end"].max()), pairs.tobytes())
+        if out:
+            self.last.update(last)
+            self.handle.registerTimer(last[1] + self.keep_ms)
+            if due.all():
+                self.open.clear()
+            else:
+                self.open.update((held[~due].tobytes(),))
+                self.handle.registerTimer(int(held["end"][~due].min()))
+            yield pd.DataFrame(out, columns=[f.name for f in CLOSED]).astype({"before": "Int64", "diff": "Float64"})
+        elif last is not None and last[1] + self.keep_ms <= now:
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def closed_periods(edges: DataFrame, keep: str = "1 hour") -> DataFrame:
+    """(MatchID, bucket, PeriodID, norm, before, diff) of each bucket's closed periods, for append mode.
+
+    ``keep`` must be longer than any pause between two periods of a match: what is older starts anew.
+    """
+    return edges.groupBy("MatchID", "bucket").transformWithStateInPandas(
+        EvolutionProcessor(int(pd.Timedelta(keep).total_seconds() * 1000)), CLOSED, "Append", "EventTime"
+    )
+
+
+def flags_of_closed(closed: DataFrame, threshold: float) -> DataFrame:
+    """Distances and flags from the closed rows written so far: one row per bucket and period.
+
+    A bucket knows the last period it had pairs in. Where that is not the match's previous period,
+    it had none there, so its difference is its own weight; a bucket of the previous period that
+    has no row now lost all its weight.
+    """
+    ranks = materialise(
+        graph.period_rank(closed.where(F.col("bucket") == MARK).select("MatchID", "PeriodID", F.lit(0).alias("row_id"))), "ranks"
+    )
+    follows = Window.partitionBy("MatchID").orderBy("rank")
+    around = ranks.select(
+        "MatchID", "PeriodID", "rank", F.lag("PeriodID").over(follows).alias("previous"), F.lead("PeriodID").over(follows).alias("next")
+    )
+    rows = closed.where(F.col("bucket") != MARK).join(around, ["MatchID", "PeriodID"])
+    gained = rows.select(
+        "MatchID", "bucket", "PeriodID",
+        F.when(F.col("before") == F.col("previous"), F.col("diff")).otherwise(F.col("norm")).alias("sq"),
+    )
+    lost = rows.where(F.col("next").isNotNull()).select("MatchID", "bucket", F.col("next").alias("PeriodID"), "norm")
+    both = lost.join(gained, ["MatchID", "bucket", "PeriodID"], "left_anti").withColumnRenamed("norm", "sq")
+    squares = gained.unionByName(both).groupBy("MatchID", "PeriodID").agg(F.sum("sq").alias("sq"))
+    distance = F.when(F.col("rank") > 1, F.sqrt(2 * F.coalesce("sq", F.lit(0.0))))
+    distances = ranks.join(squares, ["MatchID", "PeriodID"], "left").select("MatchID", "PeriodID", "rank", distance.alias("distance"))
+    return graph.detect_evolution(distances, threshold).select(*FLAGS.names)
 
 
 def run_available(stream: DataFrame, spark: SparkSession, label: str, mode: str = "append") -> DataFrame:
@@ -147,15 +240,19 @@ def run_available(stream: DataFrame, spark: SparkSession, label: str, mode: str
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def run_evolution(edges: DataFrame, spark: SparkSession, threshold: float) -> DataFrame:
-    """Drive the evolution detector over all available edges and return its flags."""
-    folder = new_path(spark, "evolution")
-    query = (
-        edges.writeStream.outputMode("append")
-        .foreachBatch(EvolutionSink(folder, threshold))
-        .option("checkpointLocation", new_path(spark, "evolution-progress"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(FLAGS).parquet(f"{folder}/flags")
+def run_evolution(edges: DataFrame, spark: SparkSession, threshold: float, keep: str = "1 hour") -> DataFrame:
+    """Drive the evolution detector over all available edges and return its flags.
+
+    The stream only appends rows of closed periods; its state lives in RocksDB.
+    """
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        closed = run_available(closed_periods(edges, keep), spark, "evolution")
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+    return flags_of_closed(closed, threshold)
