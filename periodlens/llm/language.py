@@ -22,18 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from periodlens.llm.tables import discard, saved
+from periodlens.llm.tables import discard, saved, then_freed
 
 ORDER = 4
 CLASS_BITS = 12
 #: Entries of a part of the model: what the driver gathers at a time. No entry is left out.
 PART = 1 << 20
-#: Entries of the parts that a worker keeps loaded.
+#: Entries of the parts that a task keeps loaded; they go when it ends.
 LOADED = 1 << 23
 REJECT_AT = 8.0
 BLOCK_CHARS = 1 << 19
 #: Characters that are looked up together, so that parts are loaded once for many texts.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 #: Distinct runs that a task counts before it hands them on.
 TALLY = 1 << 21
 EDGE = 1
@@ -146,6 +146,13 @@ def count_runs(rows: DataFrame) -> DataFrame:
 _loaded: OrderedDict[int, tuple[Broadcast, int]] = OrderedDict()
 
 
+def _unload() -> None:
+    for number in [*_loaded]:
+        old, _ = _loaded.pop(number)
+        if hasattr(old, "_path"):  # else it can't be read again
+            old.__dict__.pop("_value", None)
+
+
 def _load(shipped: Broadcast, size: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """The part ``shipped`` of ``size`` entries; parts not used for longest make room for it."""
     _loaded[id(shipped)] = (shipped, size)
@@ -337,7 +344,7 @@ def _scored(docs: DataFrame, text: str, label: Column, model: Model, carry: list
         if waiting:
             yield from judged(waiting)
 
-    return plain.mapInArrow(score, schema)
+    return plain.mapInArrow(lambda batches: then_freed(score(batches), _unload), schema)
 
 
 def held_out(id_col: str) -> Column:

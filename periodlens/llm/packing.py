@@ -15,6 +15,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from periodlens.llm.tables import saved
+from periodlens.llm.tables import saved, then_freed
 
 LIMIT = 4096
 END_ID = 1
 CHUNK = 8192
 FULL = 0.98
 BIG_ENDIAN = sys.byteorder == "big"
-#: Words whose ids a worker remembers; beyond that it starts afresh.
-KNOWN_WORDS = 1 << 20
+#: Words whose ids a worker remembers; with as many new ones, those not met since are forgotten.
+KNOWN_WORDS = 1 << 19
+#: Words that stay with a worker that rests between tasks: the first met, so mostly frequent ones.
+KEPT_WORDS = 1 << 17
 
 
 class WordEncoder:
@@ -46,11 +49,16 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
 
     def _learn(self, items: list[str]) -> None:
         for item, e in zip(items, self.tokenizer.encode_batch_fast(items, add_special_tokens=False)):
             self.known[item] = np.array(e.ids, dtype="<u4").tobytes() if BIG_ENDIAN else array("I", e.ids).tobytes()
 
+    def rest(self) -> None:
+        """Forget most words between tasks."""
+        self.known, self.before = dict(islice(self.known.items(), KEPT_WORDS)), {}
+
     def encode(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
@@ -61,9 +69,12 @@ class WordEncoder:
         parts = list(map(self.known.get, words))
         if None in parts:
             missing = {w for w, p in zip(words, parts) if p is None}
-            if len(self.known) + 2 * len(missing) > KNOWN_WORDS:
-                self.known = {"": b""}
+            if len(self.known) > KNOWN_WORDS:
+                self.known, self.before = {"": b""}, self.known
                 missing = set(words) - {""}
+            again = {w: self.before[w] for w in missing if w in self.before}
+            self.known.update(again)
+            missing.difference_update(again)
             # A stop or comma after a letter is a token of its own.
             split = {w: w[:-1] for w in missing if plain and w[-1] in ".," and w[-2:-1].isalpha()}
             fresh = {split.get(w, w) for w in missing} | {"." , ","}
@@ -81,10 +92,13 @@ def encoder(path: str) -> WordEncoder:
 
 def tokenise(
     docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = END_ID,
-    ids: bool = True,
+    ids: bool = True, rest: bool = False,
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document's pieces of at most ``limit`` ids.
 
+    With ``rest`` workers forget most words when a task ends: a little slower, for jobs whose other
+    steps need the memory.
+
     A document is its ids and ``end_id``; null and empty texts are ``end_id`` alone. Only longer
     documents are cut, into pieces of ``limit`` and a rest. Rows that repeat give their pieces
     again; an empty table gives an empty result.
@@ -126,7 +140,10 @@ def tokenise(
                 columns.append(pa.array(values, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return plain.mapInArrow(cut, T.StructType(fields))
+    def rested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then_freed(cut(batches), encoder(path).rest)
+
+    return plain.mapInArrow(rested if rest else cut, T.StructType(fields))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

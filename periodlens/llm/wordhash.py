@@ -37,7 +37,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     ones = lambda b: np.multiply.accumulate(
         np.concatenate([np.ones(1, U64), np.full(n, b, U64)])
@@ -45,6 +44,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return ones(BASE), ones(BASE_INVERSE)
 
 
+@lru_cache(maxsize=1)
+def _block_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(BLOCK)
+
+
 def _span_hashes(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
@@ -103,7 +107,8 @@ def words(data: np.ndarray, rows: np.ndarray, lower: bool = False) -> Words:
     after[rows[1:][rows[1:] > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(max(BLOCK, 1 << (max(n, 1) - 1).bit_length()))
+    # Only one row alone is longer than a block; its powers go with it.
+    up, down = _block_powers() if n <= BLOCK else _powers(n)
     sums = np.zeros(n + 1, U64)
     np.cumsum(BYTE[data] * up[:n], out=sums[1:])
     hashes = _span_hashes(sums, down, starts, ends)
