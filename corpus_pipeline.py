@@ -33,7 +33,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its ids and its place in a sequence."""
-    return packing.pack(packing.tokenise(docs, TOKENIZER))
+    return packing.pack(packing.tokenise(docs, TOKENIZER, rest=True))
 
 
 STAGES = [
