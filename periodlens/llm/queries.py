@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from periodlens.llm import (
     importance, jaccard, language, lines, merkle, mixing, nearest, packing, quality, secrets, spans, vectors, whitening,
 )
+from periodlens.llm.manifest_sql import documents_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,4 +169,4 @@ QUERIES = {
         op10_best_fit_packing, op11_whitening, op12_nearest_neighbours, op13_merkle_manifest,
     )
 }
-ORACLES = {"op4_span_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL}
+ORACLES = {"op4_span_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op13_merkle_manifest": documents_sql()}
