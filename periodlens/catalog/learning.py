@@ -120,9 +120,24 @@ def model_param_search(spark, sf):
     return md.param_search(data.train, {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]})
 
 
-@query("model_param_importance")
+PARAMS = ("learning_rate", "dropout_prob", "weight_decay", "num_heads", "fc1_dim")
+STEP_SQL = " UNION ALL ".join(
+    f"""SELECT '{p}' AS param, value, CASE WHEN params_{p} IS NULL THEN -1 WHEN max(params_{p}) OVER () <= min(params_{p}) OVER () THEN 0
+    ELSE least(floor((params_{p}::DOUBLE - min(params_{p}::DOUBLE) OVER ()) / (max(params_{p}::DOUBLE) OVER () - min(params_{p}::DOUBLE) OVER ()) * 8), 7) END AS step
+    FROM trials WHERE value IS NOT NULL"""
+    for p in PARAMS
+)
+
+
+@query(
+    "model_param_importance",
+    f"""WITH s AS ({STEP_SQL}), c AS (SELECT param, step, count(*) AS c, avg(value) AS m FROM s GROUP BY ALL),
+    v AS (SELECT param, sum(c * pow(m - (SELECT avg(value) FROM trials), 2)) AS v FROM c GROUP BY param)
+    SELECT param, round(v / sum(v) OVER (), 6) AS importance FROM v""",
+    "trials",
+)
 def model_param_importance(spark, sf):
-    return md.param_importance(tt.trials(spark, sf))
+    return md.param_importance(tt.trials(spark, sf)).withColumn("importance", F.round("importance", 6))
 
 
 @query("model_period_classifier")

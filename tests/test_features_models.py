@@ -124,3 +124,32 @@ def test_param_importance_finds_the_driver(spark):
     pdf["value"] = pdf["params_a"] * 2
     got = {r["param"]: r["importance"] for r in md.param_importance(spark.createDataFrame(pdf)).collect()}
     assert got["a"] > got["b"]
+
+
+def test_param_importance_is_the_variance_of_step_means(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    pdf = pd.DataFrame({"number": range(n), "params_a": rng.random(n), "params_b": rng.integers(0, 5, n) * 1.0, "params_c": 1.0})
+    pdf["value"] = 3 * pdf["params_a"] + (pdf["params_b"] - 2) * (pdf["params_a"] > 0.5) + rng.random(n)
+    pdf.loc[::17, "params_b"] = None
+    pdf.loc[::50, "value"] = None
+    kept = pdf[pdf["value"].notna()]
+    steps = {}
+    for p, c in (("a", "params_a"), ("b", "params_b"), ("c", "params_c")):
+        lo, hi = kept[c].min(), kept[c].max()
+        cut = np.minimum(np.floor((kept[c] - lo) / (hi - lo) * 8), 7) if hi > lo else kept[c] * 0
+        steps[p] = cut.fillna(-1)
+
+    def effect(*names):
+        means = kept["value"].groupby([steps[x] for x in names]).transform("mean")
+        return float(((means - kept["value"].mean()) ** 2).mean())
+
+    want = {p: effect(p) for p in steps}
+    for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+        want[f"{a} x {b}"] = max(0.0, effect(a, b) - want[a] - want[b])
+    for pairs in (False, True):
+        some = {k: v for k, v in want.items() if pairs or " " not in k}
+        got = {r["param"]: r["importance"] for r in md.param_importance(spark.createDataFrame(pdf), pairs=pairs).collect()}
+        assert set(got) == set(some)
+        assert all(abs(got[k] - v / sum(some.values())) < 1e-9 for k, v in some.items())
+    assert md.param_importance(spark.createDataFrame(pdf).limit(0)).collect() == []
