@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodlens.functions import text as tx
@@ -359,55 +359,79 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, col: str, accuracy: int = 10_000) -> DataFrame:
+NARROW_BINS = 4096
+LARGEST = 1.7976931348623157e308
+
+
+def order_statistics(
+    data: DataFrame, col: str, places: Iterable[int], low: float, high: float, bins: int = NARROW_BINS
+) -> dict[int, float]:
+    """The values at 0-based ``places`` of the sorted column, whose values lie from ``low`` to ``high``.
+
+    Each round counts the values of every interval still open in ``bins`` equal bins, and goes on in the bin that holds the place, from its least to its largest value. A place is found
+    when both are equal; the ends of an interval never share a bin, so every round gains. The
+    driver sees counts of bins only.
+    """
+    found: dict[int, float] = {}
+    open_ = {k: (low, high, 0) for k in places}
+    x = F.col(col)
+    while open_:
+        found.update({k: lo for k, (lo, hi, _) in open_.items() if lo == hi})
+        open_ = {k: v for k, v in open_.items() if k not in found}
+        if not open_:
+            break
+        ranges = sorted({(lo, hi) for lo, hi, _ in open_.values()})
+
+        def cell(lo: float, hi: float) -> Column:
+            # Halves keep the width of the widest interval in range.
+            bounded = F.greatest(F.least(x, F.lit(LARGEST)), F.lit(-LARGEST))
+            first, last = max(lo, -LARGEST) / 2, min(hi, LARGEST) / 2
+            part = F.least(F.floor((bounded / 2 - first) / (last - first) * bins), F.lit(bins - 1)) if last > first else F.lit(0)
+            # Infinite ends have a bin of their own.
+            return F.when(x == float("-inf"), -1).when(x == float("inf"), bins).otherwise(part).cast("int")
+
+        parts = [F.when(x.between(lo, hi), F.struct(F.lit(i).alias("r"), cell(lo, hi).alias("c"))) for i, (lo, hi) in enumerate(ranges)]
+        counts = (
+            data.select(x, F.inline(F.array_compact(F.array(*parts)))).groupBy("r", "c")
+            .agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
+        )
+        filled: dict[int, list] = {}
+        for row in sorted(counts, key=lambda row: (row["r"], row["c"])):
+            filled.setdefault(row["r"], []).append(row)
+        for k, (lo, hi, before) in open_.items():
+            for row in filled[ranges.index((lo, hi))]:
+                if k < before + row["n"]:
+                    open_[k] = (row["lo"], row["hi"], before)
+                    break
+                before += row["n"]
+    return found
+
+
+def describe(df: DataFrame, col: str, accuracy: int = NARROW_BINS) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles (linear interpolation), maximum.
 
-    A sketch brackets every quartile by its rank, a little wider than the sketch can err. A second
-    pass counts the rows below each bracket and the frequency of the values inside it, and only
-    those values are ranked, so no task ever sees the whole column.
+    Nulls and NaN are left out. Quartiles come from counts in ever narrower bins, ``accuracy`` of
+    them a round, so nothing is sorted and no task sees more than counts.
     """
     x = F.col(col).cast("double")
-    data = df.where(x.isNotNull()).select(x.alias("x"))
-    probs = [0.25, 0.5, 0.75]
-    slack = 3.0 / accuracy + 2.0 / max(1, data.count())
-    marks = [min(1.0, max(0.0, p + s)) for p in probs for s in (-slack, slack)]
+    data = df.select(x.alias("x")).where("x is not null and not isnan(x)")
+    names = ("mean", "std", "min", "p25", "p50", "p75", "max")
     first = data.agg(
-        F.count("x").alias("n"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        F.percentile_approx("x", marks, accuracy).alias("marks"),
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")
     ).first()
     n = first["n"]
     if n == 0:
-        return data.agg(F.count("x").alias("n"), *[F.avg("x").alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
-    rank = {p: p * (n - 1) for p in probs}
-    edges = {p: (first["marks"][2 * i], first["marks"][2 * i + 1]) for i, p in enumerate(probs)}
-    below = data.agg(*[F.count_if(F.col("x") < edges[p][0]).alias(f"b{i}") for i, p in enumerate(probs)])
-    inside = F.array_compact(
-        F.array(*[F.when(F.col("x").between(*edges[p]), F.lit(i)) for i, p in enumerate(probs)])
-    )
-    freq = data.select("x", F.explode(inside).alias("q")).groupBy("q", "x").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("q").orderBy("x"))
-    base = F.coalesce(*[F.when(F.col("q") == i, below.select(f"b{i}").scalar()) for i in range(3)])
-    ranked = freq.select("q", "x", (base + upto).alias("last"), (base + upto - F.col("n")).alias("start"))
-
-    def at(i: int, k: int):
-        return F.max(F.when((F.col("q") == i) & (F.col("start") <= k) & (k < F.col("last")), F.col("x")))
-
-    def quartile(i: int, p: float):
-        k = int(rank[p])
-        return at(i, k) + (at(i, min(k + 1, n - 1)) - at(i, k)) * F.lit(rank[p] - k)
-
-    return ranked.agg(
-        F.lit(n).cast("bigint").alias("n"),
-        F.lit(first["mean"]).alias("mean"),
-        F.lit(first["std"]).cast("double").alias("std"),
-        F.lit(first["min"]).alias("min"),
-        *[quartile(i, p).alias(f"p{int(p * 100)}") for i, p in enumerate(probs)],
-        F.lit(first["max"]).alias("max"),
-    )
+        return data.agg(F.count("x").alias("n"), *[F.avg("x").alias(c) for c in names])
+    wanted = {p: p * (n - 1) for p in (0.25, 0.5, 0.75)}
+    places = {int(k) for k in wanted.values()} | {min(int(k) + 1, n - 1) for k in wanted.values()}
+    at = order_statistics(data, "x", places, first["min"], first["max"], accuracy)
+
+    def quartile(k: float) -> float:
+        low, high = at[int(k)], at[min(int(k) + 1, n - 1)]
+        return low if low == high else low + (high - low) * (k - int(k))
+
+    row = (n, first["mean"], first["std"], first["min"], *[quartile(k) for k in wanted.values()], first["max"])
+    return df.sparkSession.createDataFrame([row], "n bigint, " + ", ".join(f"{c} double" for c in names))
 
 
 def best_so_far(df: DataFrame, order: str = "number", value: str = "value") -> DataFrame:

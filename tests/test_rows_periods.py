@@ -110,6 +110,26 @@ def test_describe_equals_pandas(spark):
             assert abs(got[ours] - want[theirs]) < 1e-9, (n, ours)
 
 
+def test_describe_of_uneven_and_extreme_columns(spark):
+    inf = float("inf")
+    columns = [
+        [10.0**k for k in range(-300, 300, 7)], [1e308, -1e308, 0.0, 1.0, -1e308], [5.0] * 9, [-inf, 1.0, 2.0, inf, inf],
+        [1.0, None, float("nan"), 3.0], [float(i % 3) for i in range(100)], [0.1, 0.1 + 2**-56, 0.30000000000000004, 0.3],
+    ]
+    for values in columns:
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        real = sorted(v for v in values if v is not None and v == v)
+        for bins in (2, 4096):
+            got = pe.describe(df, "x", bins).first()
+            assert (got["n"], got["min"], got["max"]) == (len(real), real[0], real[-1])
+            for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+                k = p * (len(real) - 1)
+                low, high = real[int(k)], real[min(int(k) + 1, len(real) - 1)]
+                want = low if low == high else low + (high - low) * (k - int(k))
+                assert got[name] == want or (got[name] != got[name] and want != want)
+    assert pe.describe(spark.createDataFrame([(None,)], "x double"), "x").first()["n"] == 0
+
+
 def smooth_reference(values, sigma=2.0):
     radius = 8
     weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
