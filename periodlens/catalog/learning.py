@@ -6,12 +6,12 @@ so the boosted learners take long.
 
 from pyspark.sql import functions as F
 
+from periodlens.catalog.counts import valence
 from periodlens.catalog.registry import STOPWORDS, query
 from periodlens.operators import evaluate as ev
 from periodlens.operators import features as ft
 from periodlens.operators import models as md
 from periodlens.operators import neighbours as nb
-from periodlens.operators import periods as pe
 from periodlens.operators import rows as rw
 from periodlens.plans import classical, exploration
 from periodlens.session import materialise, new_path
@@ -87,31 +87,22 @@ def model_apply_all(spark, sf):
     return rw.union_all(parts).groupBy("model").agg(F.count("*").alias("n"), F.avg("EventType").alias("share_of_events"))
 
 
-def feature_rows(spark, sf):
-    """Documents of labelled sources with simple numeric features and the toxic label."""
-    docs = tt.table(spark, sf, "documents").select("doc_id", "n_chars", "text").join(
-        tt.table(spark, sf, "labels"), "doc_id"
-    )
-    table = docs.select(
-        "doc_id",
-        F.col("toxic").alias("EventType"),
-        F.col("n_chars").cast("double").alias("NumChars"),
-        F.size(F.split("text", "\n")).cast("double").alias("NumLines"),
-        F.size(F.split("text", " ")).cast("double").alias("NumWords"),
-        F.col("quality").cast("double").alias("Quality"),
-    )
-    columns = ["NumChars", "NumLines", "NumWords", "Quality"]
-    table = materialise(table, "document-features")
-    fitted = pe.zscore_fit(table, {c: c for c in columns})
-    done = pe.zscore_apply(table, fitted, {c: c for c in columns}, {c: c for c in columns})
-    split = materialise(ft.random_split(done, 0.8, 42, "doc_id"), "document-split")
-    return split.where("split = 'train'"), split.where("split = 'validation'"), columns
+def period_rows(spark, sf):
+    """Periods with their pooled text vector as ``base``, and four normalised features, sentiment among them."""
+    posts = tt.labelled_posts(spark, sf)
+    vectors = ft.embed_text(exploration.prepared(posts), "Tweet", dims=16)
+    pooled = ft.masked_mean_pool(vectors, "ID", "vec").select("ID", ft.array_to_vector("pooled").alias("base"))
+    extra = exploration.normalised_features(posts, valence=valence(spark, sf))
+    rows = materialise(ft.random_split(pooled.join(extra, "ID"), 0.8, 42, "ID"), "period-rows")
+    columns = ["NumTweets", "AvgTweetLength", "NormalizedPeriod", "NormalizedSentiment"]
+    return rows.where("split = 'train'"), rows.where("split = 'validation'"), columns
 
 
 @query("model_ablation")
 def model_ablation(spark, sf):
-    train, test, columns = feature_rows(spark, sf)
-    return md.ablation_feature_sets(train, test, columns)
+    """The text vector with all features, with all but one, and alone."""
+    train, test, columns = period_rows(spark, sf)
+    return md.ablation_feature_sets(train, test, columns, base="base")
 
 
 @query("model_param_search")
