@@ -83,3 +83,29 @@ def test_only_year_is_a_range(spark):
     ms = [int(dt.datetime(y, m, d, tzinfo=dt.timezone.utc).timestamp() * 1000) for y, m, d in ((2009, 12, 31), (2010, 1, 1), (2010, 12, 31), (2011, 1, 1))]
     df = spark.createDataFrame([(m,) for m in ms], "Timestamp bigint")
     assert rows.only_year(df, 2010).count() == 2
+
+
+def test_quoted_line_breaks_across_splits(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    texts = ['plain', 'two\nlines', 'a "quoted" word', '"', 'ends with quote"', 'comma, and\n\n"both"', "", "é\U0001f600\nß", "x" * 70 + "\ny"]
+    (tmp_path / "in").mkdir()
+    for name, n, end in (("a.csv", 400, "\n"), ("b.csv", 3, "\r\n"), ("c.csv", 0, "\n")):
+        rows = ["ID,MatchID,PeriodID,EventType,Timestamp,Tweet"]
+        for i in range(n):
+            text = rng.choice(texts)
+            rows.append(f"{i}_0,{i},0,{i % 2},{i * 1000}," + (f'"{text.replace(chr(34), chr(34) * 2)}"' if text else ""))
+        (tmp_path / "in" / name).write_text(end.join(rows) + end * (n != 3), newline="")
+    want = sorted(io.read_tweets(spark, str(tmp_path / "in"), provenance=True).collect(), key=str)
+    assert len(want) == 403
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "333")
+    try:
+        assert spark.read.text(str(tmp_path / "in" / "a.csv")).rdd.getNumPartitions() > 20
+        got = io.read_tweets_split(spark, str(tmp_path / "in"), provenance=True)
+        assert sorted(got.collect(), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    one = io.read_tweets_split(spark, str(tmp_path / "in" / "b.csv"))
+    assert one.columns == io.read_tweets(spark, str(tmp_path / "in" / "b.csv")).columns and one.count() == 3
