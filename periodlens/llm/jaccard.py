@@ -5,10 +5,11 @@ ordered by how many sets hold them, rarest first. A set that may miss at most ``
 in a partner files itself under the first ``m + 1`` of them: rare ones (in at most ``RARE`` sets)
 each alone, frequent ones in pairs. Frequent shingles fall into classes by hash, and a pair is made
 inside a class only; every class in use costs one shingle more of prefix. Whoever overlaps enough
-shares a file. Files are compared against their most central member first; members found to belong together need no
-comparison among each other, and what is left between different classes is compared in full. A
-set's shingles that no other candidate holds bound every overlap, so most edited copies that miss
-the threshold are never paired.
+shares a file. Files are compared against their most central member, their pivot, first; members
+found to belong together need no comparison among each other. Members of different classes are
+filed again under the rarest shingles of their differences to the pivot, and only those that meet
+there are compared. A set's shingles that no other candidate holds bound every overlap, so most
+edited copies that miss the threshold are never paired.
 
 Large sets store only the shingles of a fixed slice of the hash range (and all if that is too few),
 since prefixes are short. Counting, filing and ordering use the stored shingles of all sets alike.
@@ -153,8 +154,7 @@ def _filed(sets: DataFrame, plan: Plan) -> DataFrame:
                 held, count = k_tok[k_at[i] : k_at[i + 1]], k_df[k_at[i] : k_at[i + 1]]
                 counts = np.ones(len(own), np.int64)
                 at = np.searchsorted(own, held)
-                mine = (at < len(own)) & (own[np.minimum(at, len(own) - 1)] == held)  # rows of one id share ``known``
-                counts[at[mine]] = count[mine]
+                counts[at] = count
                 files.append(plan.files(n, own, counts))
             times = np.array([len(f) for f in files], np.int64)
             at = pa.array(np.repeat(np.arange(len(files)), times))
@@ -181,6 +181,60 @@ def _may_link(n: str, s: str, m: str, t: str, num: int, den: int) -> Column:
     return most * den >= (F.col(n) + F.col(m) - most) * num
 
 
+def _apart(num: int, den: int, d: Column, n: Column) -> Column:
+    """Whether sets of ``n`` shingles together that differ in ``d`` are too far apart to link."""
+    return d * (den + num) > n * (den - num)
+
+
+def _beyond_pivot(near: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) pairs of (pivot, id, n, m, comp) that may link: members of one pivot, in different components.
+
+    Sets are compared by how they differ from their pivot (of ``m`` shingles). Two sets differ by
+    their differences less twice what these share, so a set that does not link with the pivot links
+    only with sets that share a good part of its difference: about half of it with others that do
+    not link with the pivot either. Both hold one of the rarest of these shingles, up to as many as
+    may be missing, and a pair is made at the first such shingle only.
+    """
+    mine = whole.select("id", F.col("tokens").alias("t"))
+    theirs = whole.select(F.col("id").alias("pivot"), F.col("tokens").alias("u"))
+    step = F.concat(F.array_except("t", "u"), F.array_except("u", "t"))
+    diffs = saved(
+        near.where("id <> pivot").join(mine, "id").join(theirs, "pivot").select("pivot", "id", "n", "m", "comp", step.alias("step")),
+        "jac-diffs",
+    )
+    each = diffs.select("pivot", "id", F.explode("step").alias("token"))
+    held = each.groupBy("pivot", "token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(held, ["pivot", "token"]).groupBy("pivot", "id").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("k"))
+    d, n, m = F.size("step"), F.col("n"), F.col("m")
+    both, less = den + num, den - num
+    # What has to be shared: with a set that does not link with the pivot, and with one that does.
+    far = F.greatest(F.lit(1), F.floor((d * both - (n - m) * less) / (2 * both)) + 1)
+    close = F.greatest(F.lit(1), F.ceil((d * both - (n + m) * less + 2 * num) / (2 * both)))
+    lone = d - F.size("k")
+    rarest = lambda need: F.slice(F.transform("k", lambda x: x["token"]), 1, F.greatest(F.lit(0), d - need + 1 - lone).cast("int"))
+    rows = diffs.join(shared, ["pivot", "id"]).select(
+        "pivot", "id", "n", "comp", d.alias("d"), _apart(num, den, d, n + m).alias("out"),
+        rarest(far).alias("far"), rarest(F.least(far, close)).alias("close"),
+    )
+    rows = saved(rows, "jac-prefixes")
+    discard(diffs)
+
+    def side(df: DataFrame, tokens: str, suffix: str) -> DataFrame:
+        cols = [F.col(c).alias(c + suffix) for c in ("pivot", "id", "n", "comp", "d")]
+        return df.select(*cols, F.col(tokens).alias("k" + suffix), F.explode(tokens).alias("token" + suffix))
+
+    def pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
+        first = F.get(F.array_intersect("kx", "ky"), F.lit(0)) == F.col("tokenx")
+        reach = ~_apart(num, den, F.abs(F.col("dx") - F.col("dy")), F.col("nx") + F.col("ny"))
+        same = (F.col("pivotx") == F.col("pivoty")) & (F.col("tokenx") == F.col("tokeny"))
+        return left.join(right, same & (F.col("compx") != F.col("compy")) & reach & more & first).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"))
+
+    out, close_ = rows.where("out"), rows.where("not out")
+    among = pairs(side(out, "far", "x"), side(out, "far", "y"), F.col("idx") < F.col("idy"))
+    across = pairs(side(out, "close", "x"), side(close_, "far", "y"), F.lit(True))
+    return among.unionByName(across).distinct()
+
+
 def overlap_classes(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100,
 ) -> DataFrame:
@@ -188,48 +242,47 @@ def overlap_classes(
 
     Two documents link when ``den`` times the shingles they share is at least ``num`` times those
     that either has. Null texts and texts without words have no shingles and link with nothing.
-    Rows of one id are one document: all of them get its class. Rows without an id have none. An
-    empty table gives an empty result.
+    Rows of one id are one document: all of them get its class, and a link of any of its texts
+    counts. Rows without an id have none. An empty table gives an empty result.
     """
     plan = Plan(num, den)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     sets = saved(_sets(plain, width, plan), "jac-sets")
     print_ = ["n", "f1", "f2"]
     filled = sets.where("id is not null and n > 0")
-    reps = saved(filled.groupBy(*print_).agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens")), "jac-reps")
+    # From here on ``id`` is the number of a set, and ``rep`` the smallest document that has it.
+    numbered = filled.groupBy(*print_).agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens"))
+    reps = saved(numbered.withColumn("id", F.monotonically_increasing_id()), "jac-reps")
     prints = saved(sets.select("id", *print_), "jac-prints")
-    classes = saved(reps.select(*print_, "rep"), "jac-reps")
+    classes = saved(reps.select(*print_, "rep", "id"), "jac-reps")
     discard(sets)
-    tokens = reps.select(F.col("rep").alias("id"), F.explode("tokens").alias("token"))
+    tokens = reps.select("id", F.explode("tokens").alias("token"))
     several = saved(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jac-frequency")
     known = saved(
-        tokens.join(several, "token")
-        .groupBy("id")
-        .agg(F.collect_set(F.struct("token", "df")).alias("known"))
-        .select(F.col("id").alias("_id"), "known"),
-        "jac-known",
+        tokens.join(several, "token").groupBy("id").agg(F.collect_set(F.struct("token", "df")).alias("known")), "jac-known"
     )
     # Only a set with a shared shingle can have a partner.
-    with_known = reps.where(F.size("tokens") > 0).select(F.col("rep").alias("id"), "n", "tokens").join(
-        known, F.col("id") == F.col("_id")
-    )
-    filed = saved(_filed(with_known, plan), "jac-filed")
+    filed = saved(_filed(reps.where(F.size("tokens") > 0).select("id", "n", "tokens").join(known, "id"), plan), "jac-filed")
     for table in (reps, several, known):
         discard(table)
     shared = filed.groupBy("file").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("file")
     sharing = saved(filed.join(shared, "file", "left_semi"), "jac-sharing")
     discard(filed)
-    active = saved(sharing.select("id").distinct(), "jac-active")
-    whole = saved(_sets(plain.join(active, "id", "left_semi"), width, None).select("id", "tokens"), "jac-whole")
+    active = classes.join(sharing.select("id").distinct(), "id", "left_semi")
+    active = saved(active.select(F.col("rep").alias("id"), F.col("id").alias("set"), *[F.col(c).alias(f"_{c}") for c in print_]), "jac-active")
+    # Texts cross one shuffle, at every size alike, and take the numbers of their sets along. A
+    # document with several texts meets all of its numbers; each set keeps its own.
+    met = plain.join(active.hint("merge"), "id").select(F.struct("set", *[f"_{c}" for c in print_]).alias("id"), "text")
+    own = [F.col(c) == F.col(f"id._{c}") for c in print_]
+    whole = saved(_sets(met, width, None).where(own[0] & own[1] & own[2]).select(F.col("id.set").alias("id"), "tokens"), "jac-whole")
     # Shingles that no other of these sets holds can't be shared: they bound every overlap.
     lone = (
         whole.select("id", F.explode("tokens").alias("token"))
         .groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
         .groupBy("id").agg(F.count("*").alias("lone"))
-        .select(F.col("id").alias("_id"), "lone")
     )
     bounded = saved(
-        sharing.join(saved(lone, "jac-lone"), F.col("id") == F.col("_id"), "left")
+        sharing.join(saved(lone, "jac-lone"), "id", "left")
         .withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0)))
         .where(F.col("s") * den >= F.col("n") * num)
         .select("file", "id", "n", "s"),
@@ -239,8 +292,9 @@ def overlap_classes(
     # Every file is compared with its most central member, to which edited copies are nearest.
     pivot = F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("apart"), F.xxhash64("id").alias("h"), "id", "n", "s")
     pivots = bounded.groupBy("file").agg(F.min(pivot).alias("p"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    pivots = saved(pivots.select("file", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"), F.col("p.s").alias("t")), "jac-pivots")
     stars = saved(
-        bounded.join(pivots.select("file", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"), F.col("p.s").alias("t")), "file")
+        bounded.join(pivots, "file")
         .where((F.col("id") != F.col("pivot")) & _may_link("n", "s", "m", "t", num, den))
         .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         .distinct(),
@@ -255,30 +309,20 @@ def overlap_classes(
     )
     discard(bounded)
     mixed = placed.groupBy("file").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("file")
-    open_ = saved(placed.join(mixed, "file", "left_semi"), "jac-open")
-    discard(placed)
-    groups = open_.groupBy("file", "comp").agg(F.min("n").alias("n"), F.max("s").alias("s"))
-    one = groups.select("file", F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    two = groups.select("file", F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    meet = one.join(
-        two, (one["file"] == two["file"]) & (F.col("ca") < F.col("cb")) & _may_link("na", "sa", "nb", "sb", num, den)
-    ).select(one["file"], "ca", "cb")
-    x = open_.select("file", F.col("comp").alias("ca"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"))
-    y = open_.select("file", F.col("comp").alias("cb"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"))
-    rest = (
-        meet.join(x, ["file", "ca"]).join(y, ["file", "cb"])
-        .where(_may_link("nx", "sx", "ny", "sy", num, den))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    untried = saved(rest.join(stars, ["a", "b"], "left_anti"), "jac-rest")
+    near = placed.join(mixed, "file", "left_semi").join(pivots, "file").select("pivot", "id", "n", "m", "comp").distinct()
+    untried = saved(_beyond_pivot(near, whole, num, den), "jac-rest")
     more = saved(_verified(untried, whole, num, den), "jac-links")
-    for table in (whole, stars, open_, untried):
+    for table in (whole, stars, placed, pivots, untried):
         discard(table)
-    final = components(links.unionByName(more))
+    # The sets of one document belong together.
+    texts = prints.join(classes.withColumnRenamed("id", "set"), print_).where(F.col("id").isNotNull())
+    several = texts.groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a < b")
+    together = texts.join(several.select("id", "a"), "id").where("set <> a").select("a", F.col("set").alias("b"))
+    final = components(links.unionByName(more).unionByName(together))
+    placed = classes.join(final, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("least"))
     named = saved(
-        classes.join(final, F.col("rep") == F.col("node"), "left")
-        .select(*[F.col(c).alias(f"_{c}") for c in print_], F.coalesce("component", "rep").alias("component")),
+        placed.join(least, "component").select(*[F.col(c).alias(f"_{c}") for c in print_], F.col("least").alias("component")),
         "jac-classes",
     )
     same = [F.col(c) == F.col(f"_{c}") for c in print_]
