@@ -105,10 +105,16 @@ def model_ablation(spark, sf):
     return md.ablation_feature_sets(train, test, columns, base="base")
 
 
+SPACE = {
+    "regParam": (1e-4, 1.0, "log"), "elasticNetParam": (0.0, 1.0), "tol": (1e-6, 1e-3, "log"),
+    "threshold": (0.35, 0.65), "aggregationDepth": (2, 3, "int"),
+}
+
+
 @query("model_param_search")
 def model_param_search(spark, sf):
     data = prepared(spark, sf, ft.MAX_FEATURES)
-    return md.param_search(data.train, {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]})
+    return md.pruned_search(data.train, SPACE)
 
 
 PARAMS = ("learning_rate", "dropout_prob", "weight_decay", "num_heads", "fc1_dim")

@@ -190,7 +190,7 @@ def id_period(id_: Column) -> Column:
     return F.split_part(id_, F.lit("_"), F.lit(2)).cast("int")
 
 
-def digest_number(*cols: Column | int, digits: int = 12) -> Column:
+def digest_number(*cols: Column | int | str, digits: int = 12) -> Column:
     """A number of ``digits`` hexadecimal digits (15 at most) that depends on the values alone.
 
     It is the head of the MD5 digest of the values joined by ``-``, so other engines can work it

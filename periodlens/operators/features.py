@@ -96,12 +96,12 @@ def tfidf_features(df: DataFrame, text: str, model: PipelineModel) -> DataFrame:
     return model.transform(termed).drop("terms", "counts", "scaled")
 
 
-def _unit(key: Column, seed: int) -> Column:
+def _unit(key: Column, seed: int | str) -> Column:
     """A uniform number in [0, 1) that depends on the key and the seed alone."""
     return tx.digest_number(key, seed) / float(2**48)
 
 
-def random_split(df: DataFrame, fraction: float, seed: int, key: str) -> DataFrame:
+def random_split(df: DataFrame, fraction: float, seed: int | str, key: str) -> DataFrame:
     """Split by key: rows with the same key always land on the same side. No shuffle."""
     side = F.when(_unit(F.col(key), seed) < fraction, "train").otherwise("validation")
     return df.withColumn("split", side)

@@ -153,3 +153,43 @@ def test_param_importance_is_the_variance_of_step_means(spark):
         assert set(got) == set(some)
         assert all(abs(got[k] - v / sum(some.values())) < 1e-9 for k, v in some.items())
     assert md.param_importance(spark.createDataFrame(pdf).limit(0)).collect() == []
+
+
+def test_spread_draws_cover_every_range():
+    space = {"a": (0.0, 2.0), "b": (1e-4, 1.0, "log"), "c": (1, 4, "int")}
+    points = md.spread_draws(space, 32, 7)
+    assert points == md.spread_draws(space, 32, 7) and points != md.spread_draws(space, 32, 8)
+    # Base 2: each quarter of the range gets a quarter of 32 points, whatever the shift.
+    quarters = [0] * 4
+    for p in points:
+        quarters[int(p["a"] / 0.5)] += 1
+    assert max(quarters) - min(quarters) <= 2
+    logs = sorted(np.log10(p["b"]) for p in points)
+    assert -4 <= logs[0] < -3.5 and -0.5 < logs[-1] <= 0
+    assert {p["c"] for p in points} == {1, 2, 3, 4}
+    # The first points by hand: radical inverses 1/2, 1/4, 3/4 plus the shift.
+    shift = np.random.default_rng(7).random(3)[0]
+    assert [p["a"] for p in points[:3]] == [2 * ((x + shift) % 1.0) for x in (0.5, 0.25, 0.75)]
+
+
+def test_pruned_search_gives_up_bad_trials(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(labelled(spark)).cache()
+    space = {"regParam": (1e-4, 100.0, "log"), "threshold": (0.05, 0.95)}
+    got = md.pruned_search(df, space, trials=9, rungs=(1, 10), warm_up=3).collect()
+    draws = md.spread_draws(space, 9)
+    assert [(r["params_regParam"], r["params_threshold"]) for r in got] == [(p["regParam"], p["threshold"]) for p in draws]
+    assert {r["state"] for r in got} <= {"COMPLETE", "PRUNED"} and got[0]["state"] == "COMPLETE"
+    best = max(got, key=lambda r: r["value"])
+    assert best["state"] == "COMPLETE" and best["value"] > 0.9
+
+
+def test_search_divides_rows_of_a_split_anew(spark):
+    """Rows kept by a split with the same seed must not all fall on one side again."""
+    from pyspark.ml.feature import VectorAssembler
+
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(labelled(spark))
+    train = ft.random_split(df, 0.8, 42, "row_id").where("split = 'train'").drop("split")
+    for trials in (md.param_search(train, {"regParam": [0.0, 0.1]}), md.pruned_search(train, {"regParam": (0.01, 0.1)}, 2, (5,))):
+        assert all(0.5 < r["value"] <= 1 for r in trials.collect())
