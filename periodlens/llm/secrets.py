@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodlens.llm.tables import saved
+from periodlens.llm.tables import let, saved
 
 SCOPE = 400
 # The patterns of the kinds, in the order in which equal starts are listed.
@@ -36,6 +36,9 @@ SECRETS = ("assign", "hex", "key40")
 # A private-use character that no pattern matches; a text's own ones are replaced before.
 FENCE, OTHER = "\ue000", "\ufffd"
 
+#: Parts of a text that one growing list is made from; an even number.
+CHUNK = 512
+
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
 
 
@@ -58,9 +61,29 @@ def spans_of(text: Column, kind: str) -> Column:
         found = F.when(good, F.array_append(acc["found"], span)).otherwise(acc["found"])
         return F.struct(end.alias("at"), (~acc["match"]).alias("match"), found.alias("found"))
 
-    # Fences come in pairs, so every second part is a match.
-    walked = F.aggregate(F.split(fenced, FENCE), start, step)["found"]
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    def walked(parts: Column) -> Column:
+        # Fences come in pairs, so every second part is a match, and each chunk starts with none.
+        # A list that grows is copied at every step, so chunks keep it short.
+        chunks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int"))
+        local = F.transform(chunks, lambda c: F.aggregate(F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)), start, step))
+        return let(local, placed)
+
+    def placed(local: Column) -> Column:
+        none = F.expr("cast(array() as array<bigint>)")
+        first = F.struct(F.lit(0).cast("long").alias("at"), none.alias("all"))
+        grown = F.aggregate(
+            local, first, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
+        )["all"]
+
+        def moved(x: Column, base: Column) -> Column:
+            return F.transform(
+                x["found"],
+                lambda s: F.struct((s["start"] + base).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (s["end"] + base).alias("end")),
+            )
+
+        return F.flatten(F.zip_with(local, grown, moved))
+
+    return F.when(text.rlike(pattern), let(F.split(fenced, FENCE), walked)).otherwise(empty)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
