@@ -16,7 +16,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,7 +102,13 @@ def repeated_paths(edges: DataFrame) -> DataFrame:
     # A place is the upper half of a row's hash and the position in it; equal halves of different
     # rows do no harm, as edges merge only if all their full places agree.
     place = F.col("row").bitwiseAND(F.lit(0x7FFFFFFF80000000)).bitwiseOR(F.col("at").cast("long"))
-    print32 = lambda at: F.bit_xor(F.xxhash64("row", at).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+
+    def prints(at: Column, name: str) -> list[Column]:
+        """All 64 bits of the hashed places, summed in three parts, so that repeated rows don't cancel out."""
+        h = F.xxhash64("row", at)
+        parts = [F.shiftrightunsigned(h, 22 * k).bitwiseAND(F.lit((1 << 22) - 1)) for k in range(3)]
+        return [F.sum(part).alias(f"{name}{k}") for k, part in enumerate(parts)]
+
     repeated = (
         edges.groupBy("a", "b")
         .agg(
@@ -110,8 +116,8 @@ def repeated_paths(edges: DataFrame) -> DataFrame:
             F.min("id").alias("lo"),
             F.max("id").alias("hi"),
             F.count("*").alias("n"),
-            print32(F.col("at")).alias("here"),
-            print32(F.col("at") + 1).alias("next"),
+            *prints(F.col("at"), "here"),
+            *prints(F.col("at") + 1, "next"),
         )
         .where("lo < hi")
         .withColumn("doc", F.shiftright("rep", 31))
@@ -119,7 +125,8 @@ def repeated_paths(edges: DataFrame) -> DataFrame:
     # The edges that a document is the one to stand for, in order; a document bounds the window.
     along = Window.partitionBy("doc").orderBy("rep")
     same = [F.lag(c).over(along) == F.col(c) for c in ("n", "lo", "hi")]
-    linked = (F.lag("rep").over(along) == F.col("rep") - 1) & (F.lag("next").over(along) == F.col("here"))
+    same += [F.lag(f"next{k}").over(along) == F.col(f"here{k}") for k in range(3)]
+    linked = F.lag("rep").over(along) == F.col("rep") - 1
     for s in same:
         linked = linked & s
     heads = repeated.withColumn("head", ~F.coalesce(linked, F.lit(False)))
