@@ -31,6 +31,8 @@ PART = 1 << 20
 #: Entries of the parts that a task keeps loaded; they go when it ends.
 LOADED = 1 << 23
 REJECT_AT = 8.0
+#: Runs of a training text that a language's limits are taken from.
+LONG = 50
 BLOCK_CHARS = 1 << 19
 #: Characters that are looked up together, so that parts are loaded once for many texts.
 TOGETHER = 1 << 21
@@ -364,19 +366,23 @@ def identify(
     Learned from the rows that are not held out and have a text and a language; language and id
     are never inputs of a prediction. Texts that are null or without a letter are ``und``, score 0,
     and rejected. Other texts are rejected when their cross-entropy lies ``reject_at`` deviations
-    above the mean of their language's training texts; the deviation allows for short texts.
+    above the mean of their language's training texts; the deviation allows for short texts. A
+    language without longer training texts takes the mean and deviation of all languages.
     Repeated rows are judged one by one; an empty table gives an empty result.
     """
     learn = ~held_out(id_col) & F.col(text).isNotNull() & F.col(lang).isNotNull()
     model = train(docs.where(learn).select(F.col(lang).alias("lang"), F.col(text).alias("text")), part)
     label = F.when(learn, F.col(lang))
     kept = saved(_scored(docs, text, label, model, carry or []), "lang-scored")
-    fits = (
-        kept.where((F.col("label") == F.col("pred")) & (F.col("n") >= 50))
-        .groupBy("pred")
-        .agg(F.avg("ce").alias("mean"), F.coalesce(F.stddev_pop("ce"), F.lit(0.0)).alias("spread"))
-    )
-    allowed = (F.col("spread") + 0.02) * F.sqrt(1 + 200 / F.col("n")) * reject_at
+    right = kept.where(F.col("label") == F.col("pred"))
+    limits = [F.avg("ce").alias("mean"), F.coalesce(F.stddev_pop("ce"), F.lit(0.0)).alias("spread")]
+    fits = right.where(F.col("n") >= LONG).groupBy("pred").agg(*limits)
+    # A language without longer texts takes the limits of all longer ones, or else of all texts.
+    pooled = right.where(F.col("n") >= LONG).agg(*limits).first()
+    if pooled["mean"] is None:
+        pooled = right.agg(*limits).first()
+    limit = {c: F.coalesce(F.col(c), F.lit(pooled[c]).cast("double")) for c in ("mean", "spread")}
+    allowed = (limit["spread"] + 0.02) * F.sqrt(1 + 200 / F.col("n")) * reject_at
     fits = saved(fits, "lang-fits")
     if carry is None:
         discard(kept)
@@ -386,5 +392,5 @@ def identify(
         F.col("pred").alias("lang_pred"),
         "score",
         F.col("ce").alias("cross_entropy"),
-        ((F.col("pred") == UNKNOWN) | F.coalesce(F.col("ce") > F.col("mean") + allowed, F.lit(False))).alias("rejected"),
+        ((F.col("pred") == UNKNOWN) | F.coalesce(F.col("ce") > limit["mean"] + allowed, F.lit(False))).alias("rejected"),
     )
