@@ -7,7 +7,7 @@ each alone, frequent ones in pairs. Frequent shingles fall into classes by hash,
 inside a class only; every class in use costs one shingle more of prefix. Whoever overlaps enough
 shares a file. Files are compared against their most central member, their pivot, first; members
 found to belong together need no comparison among each other. Members of different classes are
-filed again under the rarest shingles of their differences to the pivot, and only those that meet
+compared in small files; in large ones they are filed again under the rarest shingles of their differences to the pivot, and only those that meet
 there are compared. A set's shingles that no other candidate holds bound every overlap, so most
 edited copies that miss the threshold are never paired.
 
@@ -31,6 +31,8 @@ from periodlens.llm.tables import discard, saved
 
 RARE = 16
 WHOLE = 256
+#: Members of a file that is compared pair by pair.
+SMALL = 16
 
 
 def _shingles(w: wh.Words, width: int) -> Iterator[np.ndarray]:
@@ -232,7 +234,7 @@ def _beyond_pivot(near: DataFrame, whole: DataFrame, num: int, den: int) -> Data
     out, close_ = rows.where("out"), rows.where("not out")
     among = pairs(side(out, "far", "x"), side(out, "far", "y"), F.col("idx") < F.col("idy"))
     across = pairs(side(out, "close", "x"), side(close_, "far", "y"), F.lit(True))
-    return among.unionByName(across).distinct()
+    return among.unionByName(across)
 
 
 def overlap_classes(
@@ -308,11 +310,21 @@ def overlap_classes(
         "jac-placed",
     )
     discard(bounded)
-    mixed = placed.groupBy("file").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("file")
-    near = placed.join(mixed, "file", "left_semi").join(pivots, "file").select("pivot", "id", "n", "m", "comp").distinct()
-    untried = saved(_beyond_pivot(near, whole, num, den), "jac-rest")
+    mixed = placed.groupBy("file").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    open_ = saved(placed.join(mixed.select("file", "members"), "file"), "jac-open")
+    discard(placed)
+    # A small file is compared pair by pair; a large one goes on by differences to its pivot.
+    x, y = (
+        open_.where(F.col("members") <= SMALL).select(F.col("file").alias("file" + c), *[F.col(v).alias(v + c) for v in ("id", "n", "s", "comp")])
+        for c in ("x", "y")
+    )
+    differ = (F.col("filex") == F.col("filey")) & (F.col("idx") < F.col("idy")) & (F.col("compx") != F.col("compy"))
+    few = x.join(y, differ & _may_link("nx", "sx", "ny", "sy", num, den)).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+    near = open_.where(F.col("members") > SMALL).join(pivots, "file").select("pivot", "id", "n", "m", "comp").distinct()
+    beyond = _beyond_pivot(near, whole, num, den)
+    untried = saved(few.unionByName(beyond).distinct().join(stars, ["a", "b"], "left_anti"), "jac-rest")
     more = saved(_verified(untried, whole, num, den), "jac-links")
-    for table in (whole, stars, placed, pivots, untried):
+    for table in (whole, stars, open_, pivots, untried):
         discard(table)
     # The sets of one document belong together.
     texts = prints.join(classes.withColumnRenamed("id", "set"), print_).where(F.col("id").isNotNull())
