@@ -104,9 +104,12 @@ def repeated_paths(edges: DataFrame) -> DataFrame:
     place = F.col("row").bitwiseAND(F.lit(0x7FFFFFFF80000000)).bitwiseOR(F.col("at").cast("long"))
 
     def prints(at: Column, name: str) -> list[Column]:
-        """All 64 bits of the hashed places, summed in three parts, so that repeated rows don't cancel out."""
+        """56 bits of the hashed places, summed in two parts, so that repeated rows don't cancel out.
+
+        A sum holds for up to 2^35 places of one edge.
+        """
         h = F.xxhash64("row", at)
-        parts = [F.shiftrightunsigned(h, 22 * k).bitwiseAND(F.lit((1 << 22) - 1)) for k in range(3)]
+        parts = [F.shiftrightunsigned(h, 28 * k).bitwiseAND(F.lit((1 << 28) - 1)) for k in range(2)]
         return [F.sum(part).alias(f"{name}{k}") for k, part in enumerate(parts)]
 
     repeated = (
@@ -125,7 +128,7 @@ def repeated_paths(edges: DataFrame) -> DataFrame:
     # The edges that a document is the one to stand for, in order; a document bounds the window.
     along = Window.partitionBy("doc").orderBy("rep")
     same = [F.lag(c).over(along) == F.col(c) for c in ("n", "lo", "hi")]
-    same += [F.lag(f"next{k}").over(along) == F.col(f"here{k}") for k in range(3)]
+    same += [F.lag(f"next{k}").over(along) == F.col(f"here{k}") for k in range(2)]
     linked = F.lag("rep").over(along) == F.col("rep") - 1
     for s in same:
         linked = linked & s
