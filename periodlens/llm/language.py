@@ -33,11 +33,11 @@ LOADED = 1 << 23
 REJECT_AT = 8.0
 #: Runs of a training text that a language's limits are taken from.
 LONG = 50
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 #: Characters that are looked up together, so that parts are loaded once for many texts.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 #: Distinct runs that a task counts before it hands them on.
-TALLY = 1 << 21
+TALLY = 1 << 20
 EDGE = 1
 SPACE = 32
 UNKNOWN = "und"
