@@ -137,3 +137,10 @@ def test_submission_has_every_period(spark):
     assert [r["ID"] for r in got] == ["6_0", "6_1", "6_10"]
     labels = posts.select("MatchID", "PeriodID", "EventType")
     assert detection.evaluated(flags, labels).count() == 3
+
+
+def test_cleaner_is_worked_out_once(spark):
+    posts = spark.createDataFrame([(1, 6, 1, "x y"), (2, 6, 1, "#x")], "row_id bigint, MatchID int, PeriodID int, Tweet string")
+    clean = graph.graph_posts(posts)
+    assert clean._jdf.queryExecution().optimizedPlan().toString().count("lower(Tweet") == 1
+    assert [r["Preprocessed_Tweet"] for r in clean.collect()] == ["x y"]
