@@ -23,7 +23,7 @@ def pairs_and_ranks(
     """
     clean = materialise(spread(graph.graph_posts(posts, **cleaning), "row_id"), "graph-posts")
     ranks = materialise(graph.period_rank(clean, order), "ranks")
-    return graph.word_pairs(clean, unit).select("MatchID", "PeriodID", "a", "b", "w"), ranks
+    return graph.placed_pairs(clean, unit), ranks
 
 
 def graphs(posts: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -144,3 +145,43 @@ def test_cleaner_is_worked_out_once(spark):
     clean = graph.graph_posts(posts)
     assert clean._jdf.queryExecution().optimizedPlan().toString().count("lower(Tweet") == 1
     assert [r["Preprocessed_Tweet"] for r in clean.collect()] == ["x y"]
+
+
+def test_pairs_are_made_behind_the_only_shuffle_of_rows(spark):
+    clean = clean_rows(spark, random_posts(5))
+    edges, ranks = graph.sum_pairs(graph.placed_pairs(clean, pairs_per_task=50)), graph.period_rank(clean)
+    steps = [
+        edges,
+        graph.evolution_distance(edges, ranks),
+        graph.deviation_by_previous(edges, ranks),
+        graph.normal_equations(edges, ranks, 3),
+        graph.edge_history(edges, ranks, 3),
+    ]
+    for step in steps:
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        keys = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+        assert sum("REPARTITION" in k for k in keys) == 1
+        assert not any(re.search(r"\b[bpq]#", k) for k in keys)
+
+
+def test_placed_pairs_are_the_pairs_of_the_posts(spark):
+    clean = clean_rows(spark, [*random_posts(6), (900, 6, 1, "one"), (901, 6, 1, "b b a")])
+    for unit in ("token", "char"):
+        cells = ["MatchID", "PeriodID", "a", "b", "w"]
+        want = sorted(map(tuple, graph.word_pairs(clean, unit).select(*cells).collect()))
+        assert sorted(map(tuple, graph.placed_pairs(clean, unit, pairs_per_task=50).select(*cells).collect())) == want
+
+
+def test_equations_from_batches_that_cut_pairs(spark):
+    rows = random_posts(7)
+    clean = clean_rows(spark, rows)
+    edges, ranks = graph.cooccurrence_edges(clean), graph.period_rank(clean)
+    want = {(r["MatchID"], r["rank"], r["i"], r["j"]): r["v"] for r in graph.normal_equations(edges, ranks, 12).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = graph.normal_equations(edges, ranks, 12, edges_per_cell=5, periods_per_chunk=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r["MatchID"], r["rank"], r["i"], r["j"]): r["v"] for r in got}
+    # A block leaves out periods that none of its edges has seen: their cells are zero.
+    assert all(abs(want.get(k, 0.0) - got.get(k, 0.0)) < 1e-9 for k in {*want, *got})
