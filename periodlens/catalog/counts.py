@@ -314,9 +314,14 @@ tot AS (SELECT ID, sum(s / sqrt(s * s + 15)) AS total FROM ss GROUP BY ID)
 
 
 def valence(spark, sf):
-    """Word scores from the labelled documents: mean quality of a word's documents, scaled."""
-    words = tt.posts(spark, sf).select("doc_id", F.explode(tx.tokenize(F.lower("Tweet"))).alias("word")).distinct()
+    """Word scores from the labelled documents: mean quality of a word's documents, scaled.
+
+    Posts are cut at spaces and line ends, so a document's words are those of its posts. Repeated
+    words go inside the row, documents without a label before the words are taken apart.
+    """
     labels = tt.table(spark, sf, "labels").select("doc_id", "quality")
+    docs = tt.table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id", "left_semi")
+    words = docs.select("doc_id", F.explode(F.array_distinct(tx.tokenize(F.lower("text")))).alias("word")).distinct()
     return words.join(labels, "doc_id").groupBy("word").agg(F.round(F.avg("quality") * 4 - 3, 2).alias("score"))
 
 
