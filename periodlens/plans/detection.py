@@ -14,21 +14,21 @@ from periodlens.session import materialise, spread
 
 
 def pairs_and_ranks(
-    posts: DataFrame, unit: str = "token", order: str = "period", **cleaning
+    posts: DataFrame, unit: str = "token", order: str = "period", coded: bool = True, **cleaning
 ) -> tuple[DataFrame, DataFrame]:
     """(weighted word pairs of all posts, ranks). Cleaned posts feed both, so they are written once.
 
-    A post turns into many pairs: ``spark.sql.files.maxPartitionBytes`` sets how many posts a task
+    The pairs are ``coded`` for steps that only tell them apart, or else hold the words. A post turns into many pairs: ``spark.sql.files.maxPartitionBytes`` sets how many posts a task
     reads, and ``spread`` deals out posts of an input too small for that.
     """
     clean = materialise(spread(graph.graph_posts(posts, **cleaning), "row_id"), "graph-posts")
     ranks = materialise(graph.period_rank(clean, order), "ranks")
-    return graph.placed_pairs(clean, unit), ranks
+    return (graph.coded_pairs if coded else graph.placed_pairs)(clean, unit), ranks
 
 
-def graphs(posts: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """(edges, ranks): the pairs summed per period, with the words themselves."""
-    pairs, ranks = pairs_and_ranks(posts, **options)
+def graphs(posts: DataFrame, coded: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """(edges, ranks): the pairs summed per period, with the words themselves unless ``coded``."""
+    pairs, ranks = pairs_and_ranks(posts, coded=coded, **options)
     return graph.sum_pairs(pairs), ranks
 
 

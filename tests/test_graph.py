@@ -185,3 +185,35 @@ def test_equations_from_batches_that_cut_pairs(spark):
     got = {(r["MatchID"], r["rank"], r["i"], r["j"]): r["v"] for r in got}
     # A block leaves out periods that none of its edges has seen: their cells are zero.
     assert all(abs(want.get(k, 0.0) - got.get(k, 0.0)) < 1e-9 for k in {*want, *got})
+
+
+def test_coded_pairs_are_the_pairs_of_the_posts(spark):
+    rows = [*random_posts(6), (900, 6, 1, "one"), (901, 6, 1, "b b a"), (902, 6, None, "b a é !")]
+    clean = clean_rows(spark, rows)
+    words = [w for r in rows for w in r[3].split(" ")]
+    ranked = sorted(set(words), key=lambda w: (-words.count(w), w))
+    for unit, n_codes in itertools.product(("token", "char"), (0, 1, 4, len(graph.CODES))):
+        pairs = graph.coded_pairs(clean, unit, pairs_per_task=50, n_codes=n_codes, entries_per_block=40)
+        word = {c: w for c, w in zip(graph.CODES[:n_codes], ranked)}
+        got = [(r["MatchID"], r["PeriodID"], *sorted((word.get(r["a"], r["a"][1:]), word.get(r["b"], r["b"][1:]))), r["w"]) for r in pairs.collect()]
+        want = [(r["MatchID"], r["PeriodID"], r["a"], r["b"], r["w"]) for r in graph.word_pairs(clean, unit).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_a_pair_costs_little_more_than_a_character_in_the_shuffle(spark):
+    clean = clean_rows(spark, [(i, 6, i % 5, " ".join(f"word{(i * 7 + k * k) % 400}" for k in range(16))) for i in range(300)])
+    plan = graph.sum_pairs(graph.coded_pairs(clean, pairs_per_task=50))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "REPARTITION" in plan
+    pairs, _ = detection.pairs_and_ranks(clean.withColumnRenamed("Preprocessed_Tweet", "Tweet"))
+    assert {len(r["a"] + r["b"]) for r in pairs.collect()} == {2}
+
+
+def test_detectors_agree_on_coded_pairs(spark):
+    clean = clean_rows(spark, random_posts(8))
+    ranks = graph.period_rank(clean)
+    own, coded = graph.cooccurrence_edges(clean), graph.sum_pairs(graph.coded_pairs(clean, n_codes=3))
+    for step in (graph.evolution_distance, graph.deviation_by_previous, graph.deviation_score):
+        a, b = ({(r[0], r[1]): r[3] for r in step(e, ranks).collect()} for e in (own, coded))
+        assert a.keys() == b.keys() and all((a[k] is None and b[k] is None) or abs(a[k] - b[k]) < 1e-9 for k in a)
+    n = [graph.edge_history(e, ranks, 3).groupBy("rank", "lag").agg(F.count("*"), F.round(F.sum("w_before"), 9)).collect() for e in (own, coded)]
+    assert sorted(n[0]) == sorted(n[1])
