@@ -193,3 +193,40 @@ def test_search_divides_rows_of_a_split_anew(spark):
     train = ft.random_split(df, 0.8, 42, "row_id").where("split = 'train'").drop("split")
     for trials in (md.param_search(train, {"regParam": [0.0, 0.1]}), md.pruned_search(train, {"regParam": (0.01, 0.1)}, 2, (5,))):
         assert all(0.5 < r["value"] <= 1 for r in trials.collect())
+
+
+def test_knn_candidates_hold_the_nearest_and_all_ties():
+    rng = np.random.default_rng(3)
+    for scale, shift, n in ((1, 0, 500), (1e-3, 1e3, 500), (1e200, 0, 70), (1, 0, 9)):
+        x, y = (rng.normal(size=(m, 8)) * scale + shift for m in (40, n))
+        y[: n // 3] = y[n // 3 : 2 * (n // 3)]
+        take = min(11, n)
+        with np.errstate(all="ignore"):
+            d, found = nb._distances(x, y), set(zip(*(c.tolist() for c in nb._candidates(x, y, take))))
+        assert {(i, j) for i, row in enumerate(d) for j in np.flatnonzero(row <= np.sort(row)[take - 1])} <= found
+        if (scale, shift, n) == (1, 0, 500):
+            assert len(found) < 40 * 30
+
+
+def test_knn_sends_rows_to_groups_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = [(i, rng.normal(size=6).tolist(), 0) for i in range(300)]
+    df = spark.createDataFrame(points, "id bigint, vec array<double>, label int")
+    kept, write = {}, nb.materialise
+    monkeypatch.setattr(nb, "materialise", lambda rows, label: kept.setdefault(label, write(rows, label)))
+    got = nb.knn_join(df, df, 4, exclude_self=True, n_pivots=32, rows_per_block=16, rows_per_group=100).toPandas()
+    got = sorted((r.id, r.neighbour, round(r.distance, 9)) for r in got.itertuples())
+    assert got == sorted((q, t, round(d, 9)) for q, t, d, *_ in brute_rows(points, 4))
+    # In few dimensions of few rows nothing is pruned: a row went to up to 32 cells before.
+    assert max(len(r["groups"]) for r in kept["knn-routed"].collect()) <= 300 // 25 + 4
+    pivots = np.array([p[1] for p in points[:32]])
+    counts = {c: 10 + c % 3 for c in range(32)}
+    groups = nb._grouped(pivots, counts, 100)
+    sizes = [sum(counts[c] for c in range(32) if groups[c] == g) for g in set(groups)]
+    assert len(groups) == 32 and max(sizes) <= 100 and len(sizes) <= 5
+
+
+def brute_rows(points, k):
+    for i, v, _ in points:
+        near = sorted((float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), j) for j, w, _ in points if j != i)
+        yield from ((i, j, d) for d, j in near[:k])
