@@ -300,17 +300,39 @@ def avg_sentiment(df: DataFrame, valence: DataFrame) -> DataFrame:
 
 
 def lemmatize(df: DataFrame, key: str, words: str, lemmas: DataFrame) -> DataFrame:
-    """Replace every word by its lemma where the table has one; order and repeats are kept."""
-    long = df.select(key, F.posexplode_outer(words).alias("pos", "surface"))
-    word = F.struct("pos", F.coalesce("lemma", "surface").alias("w"))
-    return (
-        lookup_join(long, lemmas.select("surface", "lemma"), ["surface"], "left")
-        .groupBy(key)
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), word))).alias("_w")
-        )
-        .select(key, F.col("_w.w").alias("words"))
+    """Replace every word by its lemma where the table has one; order and repeats are kept.
+
+    The words of a row travel as they are, as one text where no word holds the separator, and
+    beside them only the lemmas of those that have some. Rows of one key become one row, in the
+    order of positions.
+    """
+    sep = "\0"
+    plain = (F.size(words) > 0) & ~F.exists(words, lambda w: w.isNull() | w.contains(sep))
+    table = lemmas.groupBy("surface").agg(
+        F.sort_array(F.collect_list(F.coalesce("lemma", "surface"))).alias("lemmas")
+    )
+    found = lookup_join(df.select(key, F.explode(words).alias("surface")), table, ["surface"])
+    entry = F.struct("surface", "lemmas").alias("_e")
+    own = df.select(
+        key, F.when(plain, F.array_join(words, sep)).alias("_text"), F.when(~plain, F.col(words)).alias("_words")
     )
+    sent = own.unionByName(found.select(key, entry), allowMissingColumns=True)
+    rows = sent.groupBy(key).agg(
+        F.concat(F.transform(F.collect_list("_text"), lambda t: F.split(t, sep)), F.collect_list("_words")).alias("_ws"),
+        F.array_distinct(F.collect_list("_e")).alias("_e"),
+    )
+    known = F.map_from_entries("_e")
+
+    def lemmas_of(w: Column) -> Column:
+        return F.coalesce(F.try_element_at(known, w), F.array(w))
+
+    def placed(ws: Column) -> Column:
+        return F.flatten(F.transform(ws, lambda w, i: F.transform(lemmas_of(w), lambda v: F.struct(i.alias("pos"), v.alias("w")))))
+
+    first = F.get("_ws", F.lit(0))
+    one = F.when(F.size("_e") == 0, first).otherwise(F.flatten(F.transform(first, lemmas_of)))
+    several = F.transform(F.array_sort(F.flatten(F.transform("_ws", placed))), lambda x: x["w"])
+    return rows.select(key, F.when(F.size("_ws") == 1, one).otherwise(several).alias("words"))
 
 
 def remove_listed(df: DataFrame, words: str, table: DataFrame) -> DataFrame:

@@ -171,3 +171,14 @@ def test_frames_equal_and_agreement(spark):
     assert ev.frames_equal(a, a.orderBy("EventType")).first()["equal"]
     diff = ev.frames_equal(a, b).first()
     assert (diff["only_a"], diff["only_b"], diff["equal"]) == (1, 1, False)
+
+
+def test_lemmatize_sends_words_without_a_lemma_once(spark):
+    rows = [(1, ["b", "as", "b", None]), (1, ["cs"]), (2, None), (3, []), (None, ["as"]), (4, ["x"] * 3), (5, ["ds", "as"]), (6, ["q\0r", "", "as", ""]), (7, ["", "as", ""])]
+    words = spark.createDataFrame(rows, "k int, ws array<string>")
+    lemmas = spark.createDataFrame([("as", "a"), ("cs", "c"), ("cs", "C"), ("ds", None), ("ys", "y")], "surface string, lemma string")
+    done = pe.lemmatize(words, "k", "ws", lemmas)
+    got = {r["k"]: r["words"] for r in done.collect()}
+    assert got == {1: ["C", "b", "c", "a", "b", None], 2: [], 3: [], None: ["a"], 4: ["x"] * 3, 5: ["ds", "a"], 6: ["q\0r", "", "a", ""], 7: ["", "a", ""]}
+    # No place of a word goes through a shuffle any more.
+    assert "posexplode" not in done._jdf.queryExecution().optimizedPlan().toString()
