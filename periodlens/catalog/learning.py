@@ -89,10 +89,10 @@ def model_apply_all(spark, sf):
 
 def period_rows(spark, sf):
     """Periods with their pooled text vector as ``base``, and four normalised features, sentiment among them."""
-    posts = tt.labelled_posts(spark, sf)
-    vectors = ft.embed_text(exploration.prepared(posts), "Tweet", dims=16)
+    posts = materialise(exploration.prepared(tt.labelled_posts(spark, sf)), "prepared-posts")
+    vectors = ft.embed_text(posts, "Tweet", dims=16)
     pooled = ft.masked_mean_pool(vectors, "ID", "vec").select("ID", ft.array_to_vector("pooled").alias("base"))
-    extra = exploration.normalised_features(posts, valence=valence(spark, sf))
+    extra = exploration.normalised_periods(posts, valence=valence(spark, sf))
     rows = materialise(ft.random_split(pooled.join(extra, "ID"), 0.8, 42, "ID"), "period-rows")
     columns = ["NumTweets", "AvgTweetLength", "NormalizedPeriod", "NormalizedSentiment"]
     return rows.where("split = 'train'"), rows.where("split = 'validation'"), columns
@@ -140,10 +140,10 @@ def model_param_importance(spark, sf):
 @query("model_period_classifier")
 def model_period_classifier(spark, sf):
     """Pooled text vectors plus normalised features per period, a logistic regression, its metrics."""
-    posts = tt.labelled_posts(spark, sf)
-    vectors = ft.embed_text(exploration.prepared(posts), "Tweet", dims=16)
+    posts = materialise(exploration.prepared(tt.labelled_posts(spark, sf)), "prepared-posts")
+    vectors = ft.embed_text(posts, "Tweet", dims=16)
     pooled = ft.masked_mean_pool(vectors, "ID", "vec")
-    extra = materialise(exploration.normalised_features(posts), "normalised")
+    extra = materialise(exploration.normalised_periods(posts), "normalised")
     names = ["NumTweets", "AvgTweetLength", "NormalizedPeriod"]
     rows = ft.assemble_features(pooled, extra, "ID", names).join(extra.select("ID", "EventType"), "ID")
     rows = rows.withColumn("features", ft.array_to_vector("features"))

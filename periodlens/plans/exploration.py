@@ -23,19 +23,27 @@ def prepared(posts: DataFrame, scope: list[str] | None = None) -> DataFrame:
 def normalised_features(
     posts: DataFrame, params: DataFrame | None = None, valence: DataFrame | None = None
 ) -> DataFrame:
-    """Per-period features as z-scores, with constants fitted here or given.
+    """Per-period features as z-scores, with constants fitted here or given."""
+    kept = prepared(posts)
+    if valence is not None:
+        kept = materialise(kept, "prepared-posts")
+    return normalised_periods(kept, params, valence)
+
+
+def normalised_periods(
+    kept: DataFrame, params: DataFrame | None = None, valence: DataFrame | None = None
+) -> DataFrame:
+    """``normalised_features`` of prepared posts, which are read twice with ``valence``.
 
     The constants come from the feature table itself, one row per period, so that table is
     written once and read for both steps.
     """
-    kept = prepared(posts)
     columns = dict(pe.FEATURE_PARAMS)
+    features = pe.period_features(kept)
     if valence is None:
         columns.pop("Sentiment")
-        features = pe.period_features(kept)
     else:
-        kept = materialise(kept, "prepared-posts")
-        features = pe.period_features(kept).join(pe.avg_sentiment(kept, valence), "ID")
+        features = features.join(pe.avg_sentiment(kept, valence), "ID")
     features = materialise(features, "period-features")
     outputs = {
         "NumTweets": "NumTweets",

@@ -230,3 +230,24 @@ def brute_rows(points, k):
     for i, v, _ in points:
         near = sorted((float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), j) for j, w, _ in points if j != i)
         yield from ((i, j, d) for d, j in near[:k])
+
+
+def test_hashing_vector_is_the_sum_of_the_digests(spark):
+    rows = [(1, ["a", "b", "a"]), (2, None), (3, []), (4, ["é", None, "b"])]
+    df = spark.createDataFrame(rows, "id int, ws array<string>")
+    got = {r["id"]: r["v"] for r in df.select("id", ft.hashing_vector(F.col("ws"), 4).alias("v")).collect()}
+    numbers = df.select("id", F.transform("ws", lambda w: ft.tx.digest_number(w) % 8).alias("n")).collect()
+    for r in numbers:
+        want = None if r["n"] is None else [float(sum((1 - 2 * (c % 2)) for c in r["n"] if c // 2 == i)) for i in range(4)]
+        assert got[r["id"]] == want
+
+
+def test_period_vectors_prepare_posts_once(spark, tmp_path, monkeypatch):
+    from periodlens.catalog import features as queries
+    from periodlens.plans import exploration
+
+    spark.createDataFrame([(i, "en", f"some words number {i}", "s", 1) for i in range(60)], "doc_id bigint, lang string, text string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    calls, prepared = [], exploration.prepared
+    monkeypatch.setattr(exploration, "prepared", lambda *a: calls.append(1) or prepared(*a))
+    assert queries.period_feature_vectors(spark, str(tmp_path)).count() == 25 and len(calls) == 1
