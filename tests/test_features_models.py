@@ -251,3 +251,17 @@ def test_period_vectors_prepare_posts_once(spark, tmp_path, monkeypatch):
     calls, prepared = [], exploration.prepared
     monkeypatch.setattr(exploration, "prepared", lambda *a: calls.append(1) or prepared(*a))
     assert queries.period_feature_vectors(spark, str(tmp_path)).count() == 25 and len(calls) == 1
+
+
+def test_token_vectors_take_tokens_once_and_padding_as_a_run(spark, monkeypatch):
+    rows = [(1, "A b c d"), (1, "b"), (2, None), (3, " "), (None, "b x")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0]), ("b", [5.0, 6.0]), (None, [9.0, 9.0])], "word string, vec array<float>")
+    sent, join = [], ft.lookup_join
+    monkeypatch.setattr(ft, "lookup_join", lambda big, *rest: sent.append(big) or join(big, *rest))
+    done = ft.token_vectors(df, "k", "t", vectors, 2, 3)
+    b, o = [[3.0, 4.0], [5.0, 6.0]], [0.0, 0.0]
+    want = [(1, 0, "a", [1.0, 2.0]), *[(1, 1, "b", v) for v in b], (1, 2, "c", o), *[(1, 0, "b", v) for v in b], (1, 1, None, o), (1, 2, None, o)]
+    want += [(k, i, None, o) for k in (2, 3) for i in range(3)] + [*[(None, 0, "b", v) for v in b], (None, 1, "x", o), (None, 2, None, o)]
+    assert sorted(map(str, map(tuple, done.collect()))) == sorted(map(str, want))
+    assert sent[0].count() == 10 and sent[0]._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
