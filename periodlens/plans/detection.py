@@ -14,16 +14,17 @@ from periodlens.session import materialise, spread
 
 
 def pairs_and_ranks(
-    posts: DataFrame, unit: str = "token", order: str = "period", coded: bool = True, **cleaning
-) -> tuple[DataFrame, DataFrame]:
+    posts: DataFrame, unit: str = "token", order: str = "period", coded: bool = True, packed: bool = False, **cleaning
+) -> tuple[DataFrame | graph.PackedPairs, DataFrame]:
     """(weighted word pairs of all posts, ranks). Cleaned posts feed both, so they are written once.
 
-    The pairs are ``coded`` for steps that only tell them apart, or else hold the words. A post turns into many pairs: ``spark.sql.files.maxPartitionBytes`` sets how many posts a task
+    The pairs are ``coded`` for steps that only tell them apart, or else hold the words; ``packed``
+    leaves coded ones packed for the deviation scores. A post turns into many pairs: ``spark.sql.files.maxPartitionBytes`` sets how many posts a task
     reads, and ``spread`` deals out posts of an input too small for that.
     """
     clean = materialise(spread(graph.graph_posts(posts, **cleaning), "row_id"), "graph-posts")
     ranks = materialise(graph.period_rank(clean, order), "ranks")
-    return (graph.coded_pairs if coded else graph.placed_pairs)(clean, unit), ranks
+    return (graph.PackedPairs if packed else graph.coded_pairs if coded else graph.placed_pairs)(clean, unit), ranks
 
 
 def graphs(posts: DataFrame, coded: bool = False, **options) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +42,7 @@ def detect(
     order: str = "period",
 ) -> DataFrame:
     """(MatchID, PeriodID, rank, score or distance, is_event) for every existing period."""
-    pairs, ranks = pairs_and_ranks(posts, unit, order)
+    pairs, ranks = pairs_and_ranks(posts, unit, order, packed=method == "deviation")
     if method == "evolution":
         return graph.detect_evolution(graph.evolution_distance(pairs, ranks), threshold)
     if method == "deviation":

@@ -217,3 +217,29 @@ def test_detectors_agree_on_coded_pairs(spark):
         assert a.keys() == b.keys() and all((a[k] is None and b[k] is None) or abs(a[k] - b[k]) < 1e-9 for k in a)
     n = [graph.edge_history(e, ranks, 3).groupBy("rank", "lag").agg(F.count("*"), F.round(F.sum("w_before"), 9)).collect() for e in (own, coded)]
     assert sorted(n[0]) == sorted(n[1])
+
+
+def test_scores_from_packed_pairs_are_those_of_the_edges(spark):
+    long = " ".join(f"x{i}" for i in range(60))
+    rows = [*random_posts(9), *random_posts(10, 3), (900, 6, None, "w1 w2 é"), (901, None, 2, "w1 w2 !"), (902, 9, 4, long), (903, 9, 6, long), (904, 6, 4, "one")]
+    clean = clean_rows(spark, rows)
+    ranks = graph.period_rank(clean)
+    for unit, window in (("token", 1), ("token", 12), ("char", 3)):
+        want = {(r[0], r[1]): r["score"] for r in graph.deviation_score(graph.cooccurrence_edges(clean, unit), ranks, window).collect()}
+        for n_codes, held in ((0, 7), (4, 50), (len(graph.CODES), 1 << 20)):
+            pairs = graph.sum_pairs(graph.PackedPairs(clean, unit, pairs_per_task=500, n_codes=n_codes, entries_per_block=40))
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+            try:
+                scores = graph.deviation_score(pairs, ranks, window, edges_per_cell=20, periods_per_chunk=4, pairs_held=held).collect()
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            got = {(r[0], r[1]): r["score"] for r in scores}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
+
+
+def test_deviation_makes_no_row_of_a_pair(spark):
+    posts = clean_rows(spark, random_posts(11)).withColumnRenamed("Preprocessed_Tweet", "Tweet")
+    pairs, ranks = detection.pairs_and_ranks(posts, packed=True)
+    plan = graph.normal_equations(pairs, ranks, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "explode(split(right" not in plan
+    assert sorted(detection.detect(posts, window=2).select("MatchID", "rank").collect()) == sorted(ranks.select("MatchID", "rank").collect())
