@@ -73,7 +73,7 @@ def threshold_report(
     The equations are summed once, for the largest window; every window is solved from them, and
     all thresholds are tried on its score table.
     """
-    pairs, ranks = pairs_and_ranks(posts, unit)
+    pairs, ranks = pairs_and_ranks(posts, unit, packed=method == "deviation")
     if method == "evolution":
         distances = materialise(graph.evolution_distance(pairs, ranks), "distances")
         return ev.evaluate_sweep(graph.sweep_evolution(distances, thresholds), labels, ["threshold"])
