@@ -1,6 +1,7 @@
 """Registered learners run with the operators' own settings."""
 
 import inspect
+import threading
 
 import pytest
 
@@ -61,3 +62,17 @@ def test_apply_all_writes_six_models(spark, monkeypatch):
     assert set(got) == {"logreg", "random_forest", "gbt", "boosted_stumps", "kernel_svm", "knn"}
     assert len(set(got.values())) == 1 and min(got.values()) > 0
     assert sorted(calls) == sorted((n, (), {}) for n in TRAINERS) and terms == [ft.MAX_FEATURES]
+
+
+def test_kernel_features_are_not_written(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [i % 5], [1.0 + i], i % 2) for i in range(40)], "row_id bigint, idx array<int>, weight array<double>, EventType int")
+
+    class Data:
+        train, test, vocabulary = rows.where("row_id < 30"), rows.where("row_id >= 30"), spark.range(5)
+
+    def written(df, label):
+        raise AssertionError(label)
+
+    monkeypatch.setattr(learning, "materialise", written)
+    train, test = learning.kernel_split(Data)
+    assert train.count() == 30 and {len(r["features"]) for r in test.collect()} == {30}
