@@ -76,3 +76,20 @@ def test_kernel_features_are_not_written(spark, monkeypatch):
     monkeypatch.setattr(learning, "materialise", written)
     train, test = learning.kernel_split(Data)
     assert train.count() == 30 and {len(r["features"]) for r in test.collect()} == {30}
+
+
+def test_apply_all_trains_stumps_beside_the_others(spark, monkeypatch):
+    class Data:
+        train = test = None
+
+    started = threading.Event()
+
+    def others(train):
+        assert started.wait(30)
+        raise Stop
+
+    monkeypatch.setattr(learning, "prepared", lambda *a: Data)
+    monkeypatch.setattr(md, "train_boosted_stumps", lambda train: started.set())
+    monkeypatch.setattr(md, "train_logreg", others)
+    with pytest.raises(Stop):
+        QUERIES["model_apply_all"](spark, SF)
